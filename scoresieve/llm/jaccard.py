@@ -17,9 +17,10 @@ pair has one document of the first kind it meets in one of that one's strong
 blocks; otherwise both publish everything.
 
 Only connectivity is wanted, so a group of copies is never expanded into pairs.
-The first round verifies each member of a block's bucket against two of its
-members. The second takes buckets that still hold more than one component and
-verifies the pairs across components only. Pairs inside a component add nothing.
+The first round verifies each document against one hub: the least member of most
+of its buckets. The second does so again, with a member of another component, in
+buckets that still hold several components. The third verifies all pairs across
+components in what is left. Pairs inside a component add nothing.
 """
 
 from __future__ import annotations
@@ -40,6 +41,8 @@ from .scratch import stored
 BAND = 1.5
 #: Distinct documents whose ids may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Partners of a document that one task compares with it.
+MEMBERS = 2000
 
 
 class Bands:
@@ -160,21 +163,51 @@ def _block_keys(shingle: int, num: int, den: int):
     return run
 
 
-def _sets(shingle: int):
+def _compared(shingle: int, num: int, den: int):
     def run(batches):
-        hasher = WordHasher()
+        """Rows sorted by hub and part, the hub's own text first: compare each member with it."""
+        hasher, at, own = WordHasher(), None, []
         for batch in _slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([tokens for tokens in _each(hasher, batch, shingle)])], ["id", "tokens"])
+            hub, part, member, ids = (batch.column(i).to_pylist() for i in (0, 2, 3, 4))
+            found = []
+            for i, tokens in enumerate(_each(hasher, batch, shingle)):
+                if at != (hub[i], part[i]):
+                    at, own = (hub[i], part[i]), []
+                if not member[i]:
+                    own.append(tokens)
+                    continue
+                for other in own:
+                    common = len(np.intersect1d(tokens, other, assume_unique=True))
+                    if common and den * common >= num * (len(tokens) + len(other) - common):
+                        found.append((hub[i], ids[i]))
+                        break
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
 
     return run
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact shingle sets are similar enough."""
-    left = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
-    right = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
-    both = pairs.join(left, "b").join(right, "a").select("a", "b", F.size("ta").alias("na"), F.size("tb").alias("nb"), F.size(F.array_intersect("ta", "tb")).alias("common"))
-    return both.where(den * F.col("common") >= num * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+def _verified(pairs: DataFrame, table: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) whose exact shingle sets are similar enough.
+
+    Texts travel, as they are far smaller than their sets: each b once for each of its pairs, and each a once for every
+    MEMBERS of its pairs, so that a hub with very many partners is spread over tasks. A task holds one hub's set.
+    """
+    pairs = stored(pairs, "pairs")
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
+    members = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"))
+    hubs = parts.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
+    jobs = members.union(hubs)
+    few = pairs.count() <= BROADCAST_IDS
+    rows = table.join(F.broadcast(jobs) if few else jobs, "id").select("hub", "text", "part", "member", "id")
+    rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
+    return rows.mapInArrow(_compared(shingle, num, den), "a long, b long")
+
+
+def _near(x: str, y: str, num: int, den: int):
+    """Condition that two sets' sizes and the Hamming distance of their folded sketches leave them a chance."""
+    apart = sum((F.bit_count(F.col(f"{x}.f{i}").bitwiseXOR(F.col(f"{y}.f{i}"))) for i in range(4)), F.lit(0))
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((den + num) * apart <= (den - num) * (n + m))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,29 +242,40 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     ends = Window.partitionBy("key")
     buckets = stored(shared.select("key", "rep", F.min("rep").over(ends).alias("lo"), F.max("rep").over(ends).alias("hi")).where("lo != hi"), "buckets")
 
-    wanted = buckets.select(F.col("rep").alias("id")).distinct()
-    size = wanted.count()
-    chosen = table.join(F.broadcast(wanted) if size <= BROADCAST_IDS else wanted, "id", "left_semi")
-    sets = stored(chosen.mapInArrow(_sets(shingle), "id long, tokens array<long>").where("size(tokens) > 0"), "tokens")
+    shape = stored(node.where("id = rep").select("rep", "n", "f0", "f1", "f2", "f3").dropDuplicates(["rep"]), "shapes")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        """The pairs that sizes and folded sketches do not rule out."""
+        x, y = shape.alias("x"), shape.alias("y")
+        both = pairs.join(x, pairs["a"] == F.col("x.rep")).join(y, pairs["b"] == F.col("y.rep"))
+        return both.where(_near("x", "y", num, den)).select("a", "b")
 
-    shape = node.where("id = rep").select("rep", "n", "f0", "f1", "f2", "f3").dropDuplicates(["rep"])
-    hubs = buckets.select(F.col("lo").alias("a"), F.col("rep").alias("b")).union(buckets.select(F.col("hi").alias("a"), F.col("rep").alias("b")))
-    hubs = hubs.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first = stored(_verified(hubs, sets, num, den), "links")
-    joined = stored(components(first), "components")
+    def of_most(rows: DataFrame) -> DataFrame:
+        """For each member b the hub a that it shares most buckets with."""
+        times = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
+        return times.groupBy("b").agg(F.max_by("a", F.struct(F.col("times"), -F.col("a"))).alias("a")).select("a", "b")
 
-    labelled = buckets.select("key", "rep").join(joined.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("c"))
+    known_links = stored(_verified(possible(of_most(buckets.where("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")))), table, shingle, num, den), "links")
     inside = Window.partitionBy("key")
-    torn = labelled.select("key", "rep", "c", F.min("c").over(inside).alias("c0"), F.max("c").over(inside).alias("c1")).where("c0 != c1").select("key", "rep", "c")
-    torn = stored(torn.join(shape, "rep"), "torn")
+
+    def torn_buckets(links: DataFrame) -> DataFrame:
+        """Rows of the buckets whose members are not all connected yet: key, rep, and component c."""
+        labels = components(links).select(F.col("id").alias("rep"), "component_id")
+        labelled = buckets.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("c"))
+        return stored(labelled.withColumns({"c0": F.min("c").over(inside), "c1": F.max("c").over(inside)}).where("c0 != c1"), "torn")
+
+    torn = torn_buckets(known_links)
+    hub = F.min(F.when(F.col("c") == F.col("c1"), F.col("rep"))).over(inside)
+    again = of_most(torn.select(hub.alias("a"), F.col("rep").alias("b"), "c", "c1").where("c != c1"))
+    more = _verified(possible(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), table, shingle, num, den)
+    known_links = stored(known_links.union(more), "links")
+    torn = torn_buckets(known_links).select("key", "rep", "c").join(shape, "rep")
     x, y = torn.alias("x"), torn.alias("y")
-    total = F.col("x.n") + F.col("y.n")
-    apart = sum((F.bit_count(F.col(f"x.f{i}").bitwiseXOR(F.col(f"y.f{i}"))) for i in range(4)), F.lit(0))
-    near = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & (den * F.least("x.n", "y.n") >= num * F.greatest("x.n", "y.n")) & ((den + num) * apart <= (den - num) * total)
-    across = x.join(y, near).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    second = _verified(across.join(hubs, ["a", "b"], "left_anti"), sets, num, den)
+    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _near("x", "y", num, den))
+    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    rest = _verified(across, table, shingle, num, den)
 
-    links = first.select("a", "b").union(second).union(same.select("a", "b"))
+    links = known_links.union(rest).union(same.select("a", "b"))
     final = components(links).withColumnRenamed("id", "_id")
     out = meta.select("id", "n").join(final, F.col("id") == F.col("_id"), "left")
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))

@@ -34,4 +34,37 @@ r(id, c) AS (SELECT doc_id, doc_id FROM sizes UNION SELECT r.id, e.b FROM r JOIN
 SELECT doc_id, n::BIGINT AS n_shingles, (SELECT min(c) FROM r WHERE r.id = sizes.doc_id)::BIGINT AS component_id FROM sizes
 """
 
-ORACLE_SQL = {"op9_line_dedup": OP9, "op10_ngram_jaccard_join": OP10}
+_WORDS = f"regexp_extract_all({LOWER.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP6 = f"""
+WITH b AS MATERIALIZED (SELECT item_id, {_WORDS} AS ws FROM benchmark),
+d AS MATERIALIZED (SELECT doc_id, {_WORDS} AS ws FROM documents),
+bw AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[i : i + least(len(ws), 10) - 1], ' ') AS g
+  FROM b, unnest(generate_series(1, greatest(len(ws) - 9, 1))) AS u(i) WHERE len(ws) > 0),
+ks AS (SELECT DISTINCT k FROM bw),
+hits AS MATERIALIZED (
+  SELECT doc_id, i, k, item_id FROM (
+    SELECT doc_id, i, k, array_to_string(ws[i : i + k - 1], ' ') AS g FROM d, ks, unnest(generate_series(1, len(ws) - k + 1)) AS u(i)) JOIN bw USING (k, g)),
+w AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM hits, unnest(generate_series(0, k - 1)) AS u(j) GROUP BY doc_id),
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(w.n, 0)::BIGINT AS n_hit, coalesce(it.n, 0)::BIGINT AS n_items,
+       sha256(coalesce(it.ids, '')) AS items_sha256, coalesce(w.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN w USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+OP5 = """
+WITH RECURSIVE s AS (SELECT source, sum(greatest(length(coalesce(text, '')), 1))::DOUBLE AS size FROM documents GROUP BY source),
+r AS (SELECT source, sqrt(size) / sum(sqrt(size)) OVER () * sum(size) OVER () / size AS rate FROM s),
+p AS (
+  SELECT source, rate, 0 AS k, -rate AS log_p, exp(-rate) AS cdf FROM r
+  UNION ALL SELECT source, rate, k + 1, log_p + ln(rate) - ln(k + 1), cdf + exp(log_p + ln(rate) - ln(k + 1)) FROM p WHERE k < ceil(rate + 12 * sqrt(rate) + 20)),
+c AS (SELECT source, list(cdf) AS cdfs FROM p GROUP BY source),
+n AS (
+  SELECT doc_id, source, len(list_filter(cdfs, lambda x: x <= ('0x' || substr(md5('mix-1:' || doc_id), 1, 12))::BIGINT / 281474976710656.0)) AS n
+  FROM documents JOIN c USING (source))
+SELECT doc_id, source, i::BIGINT AS copy_no, ('0x' || substr(md5('mix-1:order:' || doc_id || ':' || i), 1, 15))::BIGINT AS order_key
+FROM n, unnest(generate_series(1, n)) AS u(i)
+"""
+
+ORACLE_SQL = {"op5_poisson_mix": OP5, "op6_decontamination": OP6, "op9_line_dedup": OP9, "op10_ngram_jaccard_join": OP10}
