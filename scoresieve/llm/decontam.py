@@ -51,10 +51,13 @@ def _fingerprints(df: DataFrame, pad: int) -> DataFrame:
     df = _paired(df, "e", "e", 1, "x2", greater)
     df = _paired(df, "x2", "x2", 2, "x4", greater)
     df = _paired(df, "x4", "x4", 3, "x7", greater)  # greatest of the minima of the windows that hold the 4-gram
-    chosen = F.when(F.size("m7") > 0, F.filter(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.get("g", i) == F.get("x7", i))).otherwise(F.array().cast("array<int>"))
+    # A column used once, within a lambda, would be inlined there and computed for each element; none is used that way below.
+    equal = F.zip_with("g", "x7", lambda x, y: x == y)
+    numbered = F.zip_with(F.sequence(F.lit(0), F.size("g") - 1), equal, lambda i, same: F.when(same, i))
+    chosen = F.when(F.size("m7") > 0, F.filter(numbered, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("at", chosen).withColumn("hp", F.concat(F.array_repeat(F.lit(pad), side), "h", F.array_repeat(F.lit(pad), side)))
     mark = lambda i: F.struct(F.lit(0).alias("len"), F.get("g", i).alias("f"), i.alias("p"), F.slice("hp", i + 1, K + 2 * side).alias("near"))
-    return df.withColumn("marks", F.transform("at", mark))
+    return df.withColumn("marks", F.when((F.size("hp") > 0) & (F.size("g") >= 0), F.transform("at", mark)))
 
 
 def _whole(length: int) -> Column:
