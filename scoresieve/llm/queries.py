@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, lines, mixing, quality
+from . import decontam, jaccard, langid, lines, mixing, quality, secrets
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,27 @@ def _bucket(of: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(of))
 
 
+def _listed(spans):
+    """kind:start:end, comma-joined."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = docs.withColumn("s", secrets.scanned(F.col("text"), secrets.learned(docs)))
+    count = lambda kind: F.size(F.filter("s.base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    order = F.array_sort(F.transform(F.concat("s.base", "s.added"), lambda x: F.struct(x["start"].alias("start"), F.array_position(F.array(*map(F.lit, secrets.KINDS)), x["kind"]).alias("at"), x["kind"].alias("kind"), x["end"].alias("end"))))
+    return out.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(_listed(F.col("s.base")), 256).alias("base_sha256"), _listed(order).alias("spans"))
+
+
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(_bucket(3) == 1, F.lit(False))
+    model = langid.learned(docs, ~held)
+    out = docs.select("doc_id", held.alias("held_out"), langid.identified(F.col("text"), model).alias("l"))
+    return out.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"), F.size("l.spans").alias("n_spans"))
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "source", "copy_no", "order_key")
@@ -41,4 +62,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op5_poisson_mix, op6_decontamination, op8_quality_classifier, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_language_id, op5_poisson_mix, op6_decontamination, op8_quality_classifier, op9_line_dedup, op10_ngram_jaccard_join)}
