@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, langid, lines, mixing, quality, secrets
+from . import chat, decontam, jaccard, langid, lines, mixing, quality, secrets, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", F.col("l.lang").alias("lang_pred"), F.col("l.score").alias("score"), F.size("l.spans").alias("n_spans"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op5_poisson_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mixed(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return out.select("doc_id", "source", "copy_no", "order_key")
@@ -46,6 +50,14 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.overlaps(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    added = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    log = table.union(added).withColumns({"seq": F.col("turn"), "event": F.lit("message")})
+    return chat.digests(chat.rendered(log))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(_bucket(4) == 2, F.lit(False))
@@ -62,4 +74,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_language_id, op5_poisson_mix, op6_decontamination, op8_quality_classifier, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_language_id, op4_embedding_near_dedup, op5_poisson_mix, op6_decontamination, op7_chat_format, op8_quality_classifier, op9_line_dedup, op10_ngram_jaccard_join)}

@@ -67,4 +67,34 @@ SELECT doc_id, source, i::BIGINT AS copy_no, ('0x' || substr(md5('mix-1:order:'
 FROM n, unnest(generate_series(1, n)) AS u(i)
 """
 
-ORACLE_SQL = {"op5_poisson_mix": OP5, "op6_decontamination": OP6, "op9_line_dedup": OP9, "op10_ngram_jaccard_join": OP10}
+OP4 = """
+WITH RECURSIVE v AS MATERIALIZED (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r(id, c) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.c),
+g AS (SELECT id, min(c) AS component_id FROM r GROUP BY id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE a = vec_id)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN g ON id = vec_id
+"""
+
+_ESC = ["<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<|im_start|>", "<|im_end|>"]
+_ESCAPED = "replace(coalesce(text, ''), '\\', '\\\\')"
+for _c in _ESC:
+    _ESCAPED = f"replace({_ESCAPED}, '{_c}', '{_c[0]}\\{_c[1:]}')"
+
+OP7 = f"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length({_ESCAPED}) AS escaped FROM c)
+SELECT conv_id, count(*)::BIGINT AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(3 + length(role) + 1 + escaped + 5)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+ORACLE_SQL = {"op4_embedding_near_dedup": OP4, "op5_poisson_mix": OP5, "op6_decontamination": OP6, "op7_chat_format": OP7, "op9_line_dedup": OP9, "op10_ngram_jaccard_join": OP10}
