@@ -43,6 +43,8 @@ BAND = 1.5
 BROADCAST_IDS = 500_000
 #: Partners of a document that one task compares with it.
 MEMBERS = 2000
+#: Bits of a pruning sketch for each element by which linked sets may differ.
+SHARP = 16
 
 
 class Bands:
@@ -83,6 +85,10 @@ class Bands:
             m = min(need, m + max(1, d // 20))
         return d, m
 
+    def bits(self, band: int) -> int:
+        """Bits of the sketch that candidates in this band are pruned by: so many that it is close to the true difference."""
+        return 64 * max(4, math.ceil(SHARP * self.blocks(band)[0] / 64))
+
     def joined(self, n: int) -> list[int]:
         """Bands in which a set of n elements takes part: its own, and those whose members may be larger partners of it."""
         own = self.of(n)
@@ -112,10 +118,10 @@ class Bands:
         return np.concatenate(out)
 
 
-def _folded(tokens: np.ndarray) -> np.ndarray:
-    """The parity sketch folded to 256 bits."""
-    bits = np.bincount((mix(tokens ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def _folded(hashed: np.ndarray, width: int) -> np.ndarray:
+    """A parity sketch of width bits (a multiple of 64), as longs."""
+    place = ((hashed >> np.uint64(32)) * np.uint64(width)) >> np.uint64(32)
+    return np.packbits((np.bincount(place.astype(np.int64), minlength=width) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _each(hasher: WordHasher, batch: pa.RecordBatch, shingle: int) -> Iterator[np.ndarray]:
@@ -137,18 +143,28 @@ def _slices(batches, most_bytes: int = 8 << 20):
             yield batch.slice(at, rows)
 
 
-def _meta(shingle: int):
+_META = "id long, n long, s1 long, s2 long, f0 long, f1 long, f2 long, f3 long, band int, wide array<array<bigint>>"
+
+
+def _meta(shingle: int, num: int, den: int):
     def run(batches):
-        hasher = WordHasher()
+        hasher, bands = WordHasher(), Bands(num, den)
         for batch in _slices(batches):
-            n, one, two, fold = [], [], [], [[], [], [], []]
+            n, one, two, fold, band, wide = [], [], [], [], [], []
             for tokens in _each(hasher, batch, shingle):
                 n.append(len(tokens))
-                one.append(int(np.bitwise_xor.reduce(mix(tokens)).view(np.int64)) if len(tokens) else 0)
-                two.append(int(np.add.reduce(mix(tokens + np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64).view(np.int64)) if len(tokens) else 0)
-                for f, x in zip(fold, _folded(tokens), strict=True):
-                    f.append(int(x))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), *(pa.array(f, pa.int64()) for f in fold)], ["id", "n", "s1", "s2", "f0", "f1", "f2", "f3"])
+                hashed = mix(tokens)
+                one.append(np.bitwise_xor.reduce(hashed))
+                two.append(np.add.reduce(mix(tokens + np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
+                fold.append(_folded(hashed, 256))
+                band.append(bands.of(len(tokens)))
+                wide.append([_folded(hashed, bands.bits(b)) for b in bands.joined(len(tokens))] if len(tokens) else [])
+            fold = np.array(fold, np.int64).reshape(-1, 4)
+            inner = _lists([x.view(np.uint64) for own in wide for x in own])
+            offsets = np.r_[0, np.cumsum([len(own) for own in wide])].astype(np.int32)
+            numbers = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))
+            columns = [batch.column(0), pa.array(n, pa.int64()), *numbers, *(pa.array(fold[:, i]) for i in range(4)), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), inner)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "f0", "f1", "f2", "f3", "band", "wide"])
 
     return run
 
@@ -226,11 +242,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     """
     spark = docs.sparkSession
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    meta = stored(table.mapInArrow(_meta(shingle), "id long, n long, s1 long, s2 long, f0 long, f1 long, f2 long, f3 long"), "sets")
+    meta = stored(table.mapInArrow(_meta(shingle, num, den), _META), "sets")
     known = meta.where("n > 0 and id is not null")
     reps = known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     # Documents that share an id are one node, so that node has an edge to each of its sets' representatives.
-    node = known.join(reps, ["n", "s1", "s2"]).select("id", "rep", "n", "f0", "f1", "f2", "f3")
+    node = known.join(reps, ["n", "s1", "s2"]).select("id", "rep", "n", "f0", "f1", "f2", "f3", "band", "wide")
     same = node.where("id != rep").select(F.col("id").alias("b"), F.col("rep").alias("a"))
 
     keyed = table.where("id is not null").mapInArrow(_block_keys(shingle, num, den), "id long, keys array<long>")
@@ -242,13 +258,16 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     ends = Window.partitionBy("key")
     buckets = stored(shared.select("key", "rep", F.min("rep").over(ends).alias("lo"), F.max("rep").over(ends).alias("hi")).where("lo != hi"), "buckets")
 
-    shape = stored(node.where("id = rep").select("rep", "n", "f0", "f1", "f2", "f3").dropDuplicates(["rep"]), "shapes")
+    shape = stored(node.where("id = rep").select("rep", "n", "f0", "f1", "f2", "f3", "band", "wide").dropDuplicates(["rep"]), "shapes")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and folded sketches do not rule out."""
         x, y = shape.alias("x"), shape.alias("y")
-        both = pairs.join(x, pairs["a"] == F.col("x.rep")).join(y, pairs["b"] == F.col("y.rep"))
-        return both.where(_near("x", "y", num, den)).select("a", "b")
+        both = pairs.join(x, pairs["a"] == F.col("x.rep")).join(y, pairs["b"] == F.col("y.rep")).where(_near("x", "y", num, den))
+        band = F.greatest("x.band", "y.band")
+        bits = F.zip_with(F.get("x.wide", band - F.col("x.band")), F.get("y.wide", band - F.col("y.band")), lambda p, q: F.bit_count(p.bitwiseXOR(q)))
+        apart = F.aggregate(bits, F.lit(0), lambda s, v: s + v)
+        return both.where((den + num) * apart <= (den - num) * (F.col("x.n") + F.col("y.n"))).select("a", "b")
 
     def of_most(rows: DataFrame) -> DataFrame:
         """For each member b the hub a that it shares most buckets with."""
@@ -269,11 +288,11 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     again = of_most(torn.select(hub.alias("a"), F.col("rep").alias("b"), "c", "c1").where("c != c1"))
     more = _verified(possible(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), table, shingle, num, den)
     known_links = stored(known_links.union(more), "links")
-    torn = torn_buckets(known_links).select("key", "rep", "c").join(shape, "rep")
+    torn = torn_buckets(known_links).select("key", "rep", "c").join(shape.drop("band", "wide"), "rep")
     x, y = torn.alias("x"), torn.alias("y")
     across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _near("x", "y", num, den))
     across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = _verified(across, table, shingle, num, den)
+    rest = _verified(possible(across), table, shingle, num, den)
 
     links = known_links.union(rest).union(same.select("a", "b"))
     final = components(links).withColumnRenamed("id", "_id")
