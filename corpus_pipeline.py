@@ -1,8 +1,61 @@
-"""The corpus pipeline: stages over documents, each written and read again."""
+"""The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's docs.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from scoresieve.llm import decontam, jaccard, lines, mixing, quality
+from scoresieve.llm.scratch import stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def accepted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts, learned from the labels of documents whose crc32(doc_id) mod 4 is not 2."""
+    held = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
+    out = quality.scored(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), ~held)
+    return out.where("quality_predicted = 1").select(*COLUMNS)
+
+
+def without_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that at least 10 of them share; n_chars follows the text."""
+    out = lines.without_common_lines(docs, min_docs=10)
+    return out.withColumns({"text": F.col("line_dedup.text"), "n_chars": F.length("line_dedup.text").cast("long")}).select(*COLUMNS)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The smallest id of each group of documents linked by a Jaccard similarity of 0.8 or more of their five-word shingles."""
+    return jaccard.one_of_each(docs, shingle=5, num=8, den=10).select(*COLUMNS)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window of ten words with a benchmark item."""
+    return decontam.clean_documents(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+
+
+def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated at their source's target rate and shuffled; adds copy_no and order_key."""
+    return mixing.mixed(docs).select(*COLUMNS, "copy_no", "order_key")
+
+
+STAGES = [
+    ("quality classifier", accepted),
+    ("line dedup", without_common_lines),
+    ("n-gram Jaccard join", one_of_each_group),
+    ("benchmark decontamination", uncontaminated),
+    ("source mixing", mixed_sources),
+]
+
+#: The first stage is a trained model, which SQL can't express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

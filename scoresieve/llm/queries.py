@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, lines, mixing, quality, secrets, vectors
+from . import chat, decontam, htmltext, jaccard, langid, lines, mixing, quality, secrets, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *map(count, secrets.KINDS[:3]), F.sha2(_listed(F.col("s.base")), 256).alias("base_sha256"), _listed(order).alias("spans"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = _table(spark, sf_dir, "pages").select("page_id", "url", htmltext.extracted(F.col("html")).alias("text"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     held = F.coalesce(_bucket(3) == 1, F.lit(False))
@@ -74,4 +79,4 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_documents(_table(spark, sf_dir, "documents"), shingle=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_language_id, op4_embedding_near_dedup, op5_poisson_mix, op6_decontamination, op7_chat_format, op8_quality_classifier, op9_line_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_html_extraction, op3_language_id, op4_embedding_near_dedup, op5_poisson_mix, op6_decontamination, op7_chat_format, op8_quality_classifier, op9_line_dedup, op10_ngram_jaccard_join)}
