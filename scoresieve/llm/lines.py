@@ -162,7 +162,6 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 10, keep: str = "none", id_col
     return grouped.mapInArrow(_bitmaps, "d long, t long, n int, bitmap binary")
 
 
-@F.arrow_udf("struct<text string, n_lines long, n_dropped long>")
 def _without(texts: pa.Array, ns: pa.Array, maps: pa.Array) -> pa.Array:
     kept, lines, dropped = [], [], []
     for text, n, bitmap in zip(texts.to_pylist(), ns.to_pylist(), maps.to_pylist(), strict=True):
@@ -184,5 +183,6 @@ def without_common_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none"
     maps = keep_bitmaps(docs, min_docs, keep, id_col, text_col)
     maps = maps.select(F.col("d").alias("_ld_d"), F.col("t").alias("_ld_t"), F.col("n").alias("_ld_n"), F.col("bitmap").alias("_ld_bitmap"))
     key = (F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63))) == maps["_ld_d"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == maps["_ld_t"])
-    out = docs.join(maps, key, "left").withColumn("line_dedup", _without(F.col(text_col), F.col("_ld_n"), F.col("_ld_bitmap")))
+    applied = F.arrow_udf(_without, "struct<text string, n_lines long, n_dropped long>")
+    out = docs.join(maps, key, "left").withColumn("line_dedup", applied(F.col(text_col), F.col("_ld_n"), F.col("_ld_bitmap")))
     return out.drop("_ld_d", "_ld_t", "_ld_n", "_ld_bitmap")
