@@ -26,7 +26,7 @@ def _tops(links: DataFrame) -> DataFrame:
     return own.join(F.broadcast(top), own["layer"] == top["top"]).select("parent")
 
 
-def leaf_weights(links: DataFrame, most_layers: int = 50) -> DataFrame:
+def leaf_weights(links: DataFrame) -> DataFrame:
     """``cluster, leaf, weight``: the product of weights along each path from a cluster to a metric, summed over paths.
 
     A child named like a cluster that has no weights of its own contributes nothing. A cycle is an error.
@@ -35,7 +35,7 @@ def leaf_weights(links: DataFrame, most_layers: int = 50) -> DataFrame:
     known = links.select(F.col("parent").alias("k")).distinct()
     front = links.select(F.col("parent").alias("cluster"), F.col("child").alias("node"), "weight")
     done = None
-    for _ in range(most_layers):
+    for _ in range(known.count()):  # no path without a cycle is longer
         marked = front.join(known, front["node"] == known["k"], "left")
         leaves = marked.where("k is null").where(~F.col("node").rlike(r"^Layer\d+_c\d+$")).select("cluster", F.col("node").alias("leaf"), "weight")
         done = leaves if done is None else done.union(leaves)

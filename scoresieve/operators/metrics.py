@@ -48,15 +48,16 @@ def correlations(table: DataFrame, keys: Sequence[str]) -> DataFrame:
         x, y = finite(F.col(a).cast("double")), finite(F.col(b).cast("double"))
         both = x.isNotNull() & y.isNotNull()
         x, y = F.when(both, x), F.when(both, y)
-        r = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
-        rows.append(F.struct(F.lit(a).alias("key_a"), F.lit(b).alias("key_b"), (F.when(r.isNotNull(), double(1.0)) if a == b else F.greatest(F.least(r, double(1.0)), double(-1.0))).alias("corr")))
+        varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))  # merged deviations of a constant need not be exactly 0
+        r = F.when(varies, F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y)))
+        rows.append(F.struct(F.lit(a).alias("key_a"), F.lit(b).alias("key_b"), F.when(r.isNotNull(), double(1.0) if a == b else F.greatest(F.least(r, double(1.0)), double(-1.0))).alias("corr")))
     return table.agg(F.array(*rows).alias("_")).select(F.inline("_"))
 
 
 def distances(corr: DataFrame, absolute: bool = False) -> DataFrame:
     """``key_a, key_b, distance``: 1 - r or 1 - |r|, at least 0; 0 for a key and itself."""
     r = F.abs("corr") if absolute else F.col("corr")
-    d = F.when(F.col("key_a") == F.col("key_b"), double(0.0)).otherwise(F.greatest(double(1.0) - r, double(0.0)))
+    d = F.when(F.col("key_a") == F.col("key_b"), double(0.0)).when(r.isNotNull(), F.greatest(double(1.0) - r, double(0.0)))
     return corr.select("key_a", "key_b", d.alias("distance"))
 
 

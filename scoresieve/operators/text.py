@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator, Sequence
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def assembled(fields: Sequence[str]) -> Column:
@@ -51,7 +52,7 @@ def embedded(table: DataFrame, load: Callable[[], Callable[[list[str]], Sequence
             values = pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays([*batch.columns, values], [*batch.schema.names, name])
 
-    schema = table.schema.add(name, "array<float>")
+    schema = T.StructType([*table.schema.fields, T.StructField(name, T.ArrayType(T.FloatType()))])
     return table.mapInArrow(run, schema)
 
 
