@@ -14,13 +14,16 @@ leaves its weak blocks out as long as its strong ones alone still guarantee a
 hit: with M blocks, at most d are touched by a difference, so M - d - weak >= 1
 strong ones agree. Documents for which that fails publish all blocks. When a
 pair has one document of the first kind it meets in one of that one's strong
-blocks; otherwise both publish everything.
+blocks; otherwise both publish everything. For sets of many elements blocks are
+fewer and larger: a linked pair then shares a strong one but for a chance of MISS
+(of the order of that of a collision of hashes), and unrelated pairs rarely do.
 
 Only connectivity is wanted, so a group of copies is never expanded into pairs.
 The first round verifies each document against one hub: the least member of most
-of its buckets. The second does so again, with a member of another component, in
-buckets that still hold several components. The third verifies all pairs across
-components in what is left. Pairs inside a component add nothing.
+of its buckets. The second verifies the pairs across components in a slice of the
+buckets that still hold several, which joins nearly all that can be joined. The third
+does so in all buckets that then still do, for pairs that no bucket of the slice
+held. Pairs inside a component add nothing.
 """
 
 from __future__ import annotations
@@ -39,10 +42,17 @@ from .scratch import stored
 
 #: Ratio of the largest to the smallest set in a band.
 BAND = 1.5
+#: Probability that a pair at exactly the threshold shares no published block, where that is not certain.
+MISS = 1e-9
 #: Distinct documents whose ids may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Partners of a document that one task compares with it.
 MEMBERS = 2000
+#: Longs of the sketch that buckets are pruned by, above and below a similarity of 0.85. Two unrelated sets differ in
+#: half of its bits; it must have so many that this is more than linked sets of common sizes may differ by.
+NARROW, BROAD = 4, 12
+#: The second round looks at one bucket in so many; most links lie in many buckets, and what they join needs no more comparing.
+SLICES = 12
 #: Bits of a pruning sketch for each element by which linked sets may differ.
 SHARP = 16
 
@@ -53,6 +63,7 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.weak = 2 if num * 100 < 85 * den else 4
+        self.known: dict[int, tuple[int, int, bool]] = {}
 
     def low(self, band: int) -> int:
         return math.ceil(BAND**band - 1e-9)
@@ -69,21 +80,41 @@ class Bands:
         """Largest symmetric difference of two linked sets whose sizes add up to total."""
         return (self.den - self.num) * total // (self.den + self.num)
 
-    def blocks(self, band: int) -> tuple[int, int]:
-        """Largest difference in this band, and the number of blocks."""
-        high = self.low(band + 1) - 1
+    def blocks(self, band: int) -> tuple[int, int, bool]:
+        """Largest difference in this band, number of blocks, and whether all of a set's blocks may be needed (pigeonhole).
+
+        Where differences are many, fewer and larger blocks do: hashing deals differences to blocks at random, and
+        the number of blocks is the least for which a linked pair shares no strong one with a probability below MISS.
+        """
+        if band not in self.known:
+            self.known[band] = self._blocks(band)
+        return self.known[band]
+
+    def _blocks(self, band: int) -> tuple[int, int, bool]:
+        low, high = self.low(band), self.low(band + 1) - 1
         d = self.most_apart(2 * high)
         if not d:
-            return 0, 1
+            return 0, 1, True
+        sizes = {2 * high, low + -(-low * self.num // self.den), low + high}
+        for m in range(max(8, d // 8), d + 1, max(1, d // 50)):
+            if all(self._missed(total, m) <= MISS for total in sizes):
+                return d, m, False
         m = d + 1
         for _ in range(40):
-            rate = self.low(band) / m
+            rate = low / m
             thin = m * sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(self.weak))
             need = d + 1 + math.ceil(thin + 2 * math.sqrt(thin))
             if need <= m or m > 1.4 * d + 2:
                 break
             m = min(need, m + max(1, d // 20))
-        return d, m
+        return d, m, True
+
+    def _missed(self, total: int, m: int) -> float:
+        """Bound of the probability that two sets of so many elements together, as different as links allow, share no strong block of m."""
+        apart = self.most_apart(total)
+        rate = (total - apart) / 2 / m
+        full = 1 - sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(self.weak))
+        return (1 - (1 - 1 / m) ** apart * full) ** m
 
     def bits(self, band: int) -> int:
         """Bits of the sketch that candidates in this band are pruned by: so many that it is close to the true difference."""
@@ -102,7 +133,7 @@ class Bands:
         out = []
         place, flips = mix(tokens ^ np.uint64(0xA0761D6478BD642F)), None
         for band in self.joined(len(tokens)):
-            d, m = self.blocks(band)
+            d, m, all_of_them = self.blocks(band)
             block = ((place >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             if flips is None:  # the low 32 bits name the bit within the block; a value of its own for each bit makes patterns comparable as one number
                 flips = mix((place & np.uint64(0xFFFFFFFF)) ^ np.uint64(0xE7037ED100000000))
@@ -111,7 +142,7 @@ class Bands:
             np.bitwise_xor.at(value, block, flips)
             filled = np.bincount(block, minlength=m)
             strong = filled >= self.weak
-            if m - d - int((~strong).sum()) < 1:
+            if all_of_them and m - d - int((~strong).sum()) < 1:
                 strong[:] = True
             at = np.flatnonzero(strong)
             out.append(mix(value[at] ^ mix(at.astype(np.uint64) + np.uint64((band + 1) << 40))))
@@ -143,12 +174,17 @@ def _slices(batches, most_bytes: int = 8 << 20):
             yield batch.slice(at, rows)
 
 
-_META = "id long, n long, s1 long, s2 long, f0 long, f1 long, f2 long, f3 long, band int, wide array<array<bigint>>"
+def _folds(num: int, den: int) -> list[str]:
+    return [f"f{i}" for i in range(NARROW if num * 100 >= 85 * den else BROAD)]
+
+
+def _meta_schema(num: int, den: int) -> str:
+    return "id long, n long, s1 long, s2 long, " + ", ".join(f"{f} long" for f in _folds(num, den)) + ", band int, wide array<array<bigint>>"
 
 
 def _meta(shingle: int, num: int, den: int):
     def run(batches):
-        hasher, bands = WordHasher(), Bands(num, den)
+        hasher, bands, names = WordHasher(), Bands(num, den), _folds(num, den)
         for batch in _slices(batches):
             n, one, two, fold, band, wide = [], [], [], [], [], []
             for tokens in _each(hasher, batch, shingle):
@@ -156,15 +192,15 @@ def _meta(shingle: int, num: int, den: int):
                 hashed = mix(tokens)
                 one.append(np.bitwise_xor.reduce(hashed))
                 two.append(np.add.reduce(mix(tokens + np.uint64(0x5851F42D4C957F2D)), dtype=np.uint64))
-                fold.append(_folded(hashed, 256))
+                fold.append(_folded(hashed, 64 * len(names)))
                 band.append(bands.of(len(tokens)))
                 wide.append([_folded(hashed, bands.bits(b)) for b in bands.joined(len(tokens))] if len(tokens) else [])
-            fold = np.array(fold, np.int64).reshape(-1, 4)
+            fold = np.array(fold, np.int64).reshape(-1, len(names))
             inner = _lists([x.view(np.uint64) for own in wide for x in own])
             offsets = np.r_[0, np.cumsum([len(own) for own in wide])].astype(np.int32)
             numbers = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))
-            columns = [batch.column(0), pa.array(n, pa.int64()), *numbers, *(pa.array(fold[:, i]) for i in range(4)), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), inner)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", "f0", "f1", "f2", "f3", "band", "wide"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), *numbers, *(pa.array(fold[:, i]) for i in range(len(names))), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), inner)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", *names, "band", "wide"])
 
     return run
 
@@ -221,7 +257,7 @@ def _verified(pairs: DataFrame, table: DataFrame, shingle: int, num: int, den: i
 
 def _near(x: str, y: str, num: int, den: int):
     """Condition that two sets' sizes and the Hamming distance of their folded sketches leave them a chance."""
-    apart = sum((F.bit_count(F.col(f"{x}.f{i}").bitwiseXOR(F.col(f"{y}.f{i}"))) for i in range(4)), F.lit(0))
+    apart = sum((F.bit_count(F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}"))) for f in _folds(num, den)), F.lit(0))
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     return (den * F.least(n, m) >= num * F.greatest(n, m)) & ((den + num) * apart <= (den - num) * (n + m))
 
@@ -240,13 +276,13 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     * Texts of any length are hashed whole, about a MB at a time. An empty table gives no rows.
     * Only id_col and text_col are read; other columns are ignored whatever their names.
     """
-    spark = docs.sparkSession
+    folds = _folds(num, den)
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    meta = stored(table.mapInArrow(_meta(shingle, num, den), _META), "sets")
+    meta = stored(table.mapInArrow(_meta(shingle, num, den), _meta_schema(num, den)), "sets")
     known = meta.where("n > 0 and id is not null")
     reps = known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
     # Documents that share an id are one node, so that node has an edge to each of its sets' representatives.
-    node = known.join(reps, ["n", "s1", "s2"]).select("id", "rep", "n", "f0", "f1", "f2", "f3", "band", "wide")
+    node = known.join(reps, ["n", "s1", "s2"]).select("id", "rep", "n", *folds, "band", "wide")
     same = node.where("id != rep").select(F.col("id").alias("b"), F.col("rep").alias("a"))
 
     keyed = table.where("id is not null").mapInArrow(_block_keys(shingle, num, den), "id long, keys array<long>")
@@ -255,10 +291,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     shared = rows.select("key", "id", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi")).where("lo != hi").select("key", "id")
     owner = node.select("id", "rep").distinct()
     shared = shared.join(owner, "id").select("key", "rep").distinct()
-    ends = Window.partitionBy("key")
-    buckets = stored(shared.select("key", "rep", F.min("rep").over(ends).alias("lo"), F.max("rep").over(ends).alias("hi")).where("lo != hi"), "buckets")
+    buckets = stored(shared.select("key", "rep", F.min("rep").over(bucket).alias("lo"), F.max("rep").over(bucket).alias("hi")).where("lo != hi"), "buckets")
 
-    shape = stored(node.where("id = rep").select("rep", "n", "f0", "f1", "f2", "f3", "band", "wide").dropDuplicates(["rep"]), "shapes")
+    shape = stored(node.where("id = rep").select("rep", "n", *folds, "band", "wide").dropDuplicates(["rep", "n", *folds]), "shapes")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and folded sketches do not rule out."""
@@ -275,24 +310,29 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
         return times.groupBy("b").agg(F.max_by("a", F.struct(F.col("times"), -F.col("a"))).alias("a")).select("a", "b")
 
     known_links = stored(_verified(possible(of_most(buckets.where("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")))), table, shingle, num, den), "links")
-    inside = Window.partitionBy("key")
 
     def torn_buckets(links: DataFrame) -> DataFrame:
         """Rows of the buckets whose members are not all connected yet: key, rep, and component c."""
         labels = components(links).select(F.col("id").alias("rep"), "component_id")
         labelled = buckets.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("c"))
-        return stored(labelled.withColumns({"c0": F.min("c").over(inside), "c1": F.max("c").over(inside)}).where("c0 != c1"), "torn")
-
-    torn = torn_buckets(known_links)
-    hub = F.min(F.when(F.col("c") == F.col("c1"), F.col("rep"))).over(inside)
-    again = of_most(torn.select(hub.alias("a"), F.col("rep").alias("b"), "c", "c1").where("c != c1"))
-    more = _verified(possible(again.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))), table, shingle, num, den)
+        return stored(labelled.withColumns({"c0": F.min("c").over(bucket), "c1": F.max("c").over(bucket)}).where("c0 != c1"), "torn")
+
+    sliced = F.pmod(F.xxhash64("key"), F.lit(SLICES)) == 0
+    in_slice = buckets.where(sliced).groupBy("rep").agg(F.collect_set("key").alias("seen"))
+
+    def across(torn: DataFrame, again: bool) -> DataFrame:
+        """Pairs of members of different components in the same bucket; the second time without those that a bucket of the slice holds."""
+        rows = torn.select("key", "rep", "c").join(shape.drop("band", "wide"), "rep")
+        if again:
+            rows = rows.join(in_slice, "rep", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
+        x, y = rows.alias("x"), rows.alias("y")
+        wanted = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _near("x", "y", num, den)
+        pairs = x.join(y, wanted & ~F.arrays_overlap("x.seen", "y.seen") if again else wanted)
+        return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+
+    more = _verified(possible(across(torn_buckets(known_links).where(sliced), False)), table, shingle, num, den)
     known_links = stored(known_links.union(more), "links")
-    torn = torn_buckets(known_links).select("key", "rep", "c").join(shape.drop("band", "wide"), "rep")
-    x, y = torn.alias("x"), torn.alias("y")
-    across = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _near("x", "y", num, den))
-    across = across.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    rest = _verified(possible(across), table, shingle, num, den)
+    rest = _verified(possible(across(torn_buckets(known_links), True)), table, shingle, num, den)
 
     links = known_links.union(rest).union(same.select("a", "b"))
     final = components(links).withColumnRenamed("id", "_id")

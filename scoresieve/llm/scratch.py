@@ -29,7 +29,14 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back; its path is in ``stored_path``."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/scoresieve/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Shuffle files go as soon as the table is there; without this they stay until the driver collects garbage.
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.stored_path = path
     return out

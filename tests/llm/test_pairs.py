@@ -68,6 +68,14 @@ def test_jaccard_edge_cases(spark, docs_of):
     assert "component_id" in kept.columns
 
 
+def test_jaccard_ids_with_two_texts(spark, docs_of, words):
+    rng = random.Random(7)
+    one, two = (" ".join(rng.choices(words, k=n)) for n in (80, 200))
+    rows = [(3, one), (3, two), (8, edited(rng, two, words, 1)), (7, edited(rng, one, words, 1)), (5, " ".join(rng.choices(words, k=90)))]
+    got = {(r["doc_id"], r["component_id"]) for r in jaccard.similar_documents(docs_of(rows), 3, 80, 100).collect()}
+    assert got == {(3, 3), (8, 3), (7, 3), (5, 5)}
+
+
 def test_sketches_never_miss():
     """Sets at the very edge of similarity share a published block, whatever their sizes."""
     rng = np.random.default_rng(0)
