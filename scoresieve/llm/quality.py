@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,6 +14,8 @@ from .hashing import SPACES, WordHasher, mix, text_bytes
 
 #: Hash range of each of the three kinds of n-grams: of three bytes, of one word, of two words.
 RANGE = 1 << 16
+#: Those, and 48 for how much repeats.
+FEATURES = 3 * RANGE + 48
 #: Labelled documents to fit on, for each class: those with the smallest hashes of their ids.
 TRAIN_PER_CLASS = 1500
 ACCEPT = 0.7
@@ -37,6 +40,12 @@ def _ids(data: np.ndarray, words: np.ndarray) -> np.ndarray:
     found.append((words >> np.uint64(48)).astype(np.int32) + RANGE)
     if len(words) > 1:
         found.append((mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:]) >> np.uint64(48)).astype(np.int32) + 2 * RANGE)
+    # How n-grams recur: the share of words that repeat the one before, of words seen before, and of pairs seen before, in tenths.
+    n = len(words)
+    if n > 1:
+        pairs = mix(words[:-1] * np.uint64(0x9E3779B97F4A7C15) + words[1:])
+        shares = (np.mean(words[1:] == words[:-1]), 1 - len(np.unique(words)) / n, 1 - len(np.unique(pairs)) / (n - 1))
+        found.append(np.array([3 * RANGE + 16 * i + int(math.ceil(10 * x)) for i, x in enumerate(shares)], np.int32))
     return np.concatenate(found)
 
 
@@ -102,12 +111,12 @@ def _calibrated(margins: np.ndarray, y: np.ndarray, weights: np.ndarray) -> tupl
 def fitted(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     """Fit on rows of feature ids with classes y (1 and -1); share: of class 1 among all labelled rows."""
     if not len(y) or abs(int(y.sum())) == len(y):  # nothing to tell apart
-        return Model(np.zeros(3 * RANGE), np.zeros(3 * RANGE), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
+        return Model(np.zeros(FEATURES), np.zeros(FEATURES), 0.0, 0.0, float(np.log((share + 1e-3) / (1 - share + 1e-3))))
 
     def counts(keep: np.ndarray) -> np.ndarray:
         out = []
         for sign in (1, -1):
-            own = np.ones(3 * RANGE)
+            own = np.ones(FEATURES)
             for i in np.flatnonzero((y == sign) & keep):
                 own[rows[i]] += 1
             out.append(own / own.sum())
@@ -157,7 +166,7 @@ def scores(texts: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def score(column: pa.Array) -> pa.Array:
-        hasher, stamp, out = WordHasher(SPACES, keep_case=True), np.zeros(3 * RANGE, np.int32), []
+        hasher, stamp, out = WordHasher(SPACES, keep_case=True), np.zeros(FEATURES, np.int32), []
         batch = pa.RecordBatch.from_arrays([column], ["text"])
         for at in range(0, batch.num_rows, 64):
             for ids in _texts(batch.slice(at, 64), 0, hasher):
