@@ -254,7 +254,7 @@ QUERIES["flagship"], SQL["flagship"] = flagship, f"SELECT line_idx, cluster_id A
 def assign_cluster(spark, sf_dir):
     labels = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("line_idx"), F.col("label").alias("cluster_id"))
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("line_idx"), "source")
-    return vectors.assign_clusters(docs.join(labels, "line_idx", "left_semi"), labels)
+    return vectors.assign_clusters(docs.join(labels, "line_idx", "left_semi"), labels.join(docs, "line_idx", "left_semi"))
 
 
 @registered("SELECT doc_id AS id, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic, ((quality IS NOT NULL)::INT + (toxic IS NOT NULL)::INT)::INT AS n FROM documents LEFT JOIN labels USING (doc_id)")
