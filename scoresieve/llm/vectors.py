@@ -26,7 +26,7 @@ from .scratch import stored
 #: Share of the pairs at exactly the threshold that the tables must bring together; closer pairs meet more surely.
 RECALL = 0.998
 #: Vectors in a bucket by chance, about; tables get more bits as the number of vectors grows.
-BY_CHANCE = 32
+BY_CHANCE = 256
 #: Rows of a bucket that are compared with one another in one piece; larger buckets are cut into tiles.
 TILE = 2048
 #: Standard deviations below the threshold at which an estimate excludes a pair.
