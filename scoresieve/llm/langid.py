@@ -10,10 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import stored
+
 #: Hash range of letter trigrams (word edges included).
 RANGE = 1 << 16
 #: Documents to learn from, for each language: those with the smallest hashes of their ids.
 TRAIN_PER_LANG = 2000
+#: Languages whose document counts may be broadcast.
+BROADCAST_LANGS = 10_000
 #: Nats that a change of language between two words costs.
 SWITCH = 8.0
 #: Code points handled at once.
@@ -97,7 +101,9 @@ def learned(docs: DataFrame, trains: Column, per_lang: int = TRAIN_PER_LANG, id_
     own = docs.where(F.col(lang_col).isNotNull() & trains)
     n = own.groupBy(lang_col).count().select(F.col(lang_col).alias("_lang"), F.col("count").alias("_n"))
     draw = F.pmod(F.xxhash64(F.lit("langid"), F.col(id_col)), F.lit(1 << 30)) / float(1 << 30)
-    sample = own.join(n, own[lang_col] == n["_lang"]).where(draw < F.lit(float(per_lang)) / F.col("_n")).select(F.col("_lang").alias("lang"), F.col(text_col).alias("text"))
+    n = stored(n, "langs")
+    few = n.count() <= BROADCAST_LANGS
+    sample = own.join(F.broadcast(n) if few else n, own[lang_col] == n["_lang"]).where(draw < F.lit(float(per_lang)) / F.col("_n")).select(F.col("_lang").alias("lang"), F.col(text_col).alias("text"))
     sums = sample.mapInArrow(_counts, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n")).toArrow()
     names = np.asarray(sums.column("lang").to_pylist(), object)
     langs = sorted(set(names))
