@@ -94,8 +94,9 @@ def learned(docs: DataFrame, text_col: str = "text", most_docs: int = TRAIN_DOCS
 
     Words of four letters and more, without digits, from the most_docs texts with the smallest hashes.
     """
-    chosen = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).where("text is not null")
-    few = chosen.orderBy("h").limit(most_docs)
+    own = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
+    last = own.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]  # hashes alone are gathered, not texts
+    few = own.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")) if last is not None else own.limit(0)
     words = few.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{4,24}\b"), F.lit(0)))).alias("w")).groupBy("w").count()
     rows = words.orderBy(F.desc("count"), "w").limit(5000).collect()
     return trained(*samples([r["w"] for r in rows]))
