@@ -22,8 +22,12 @@ ENDS = {
     "tbody": ({"tbody", "thead", "tfoot"}, {"table"}), "thead": ({"tbody", "thead", "tfoot"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot"}, {"table"}),
 }
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(>?)|[^<]+|<", re.DOTALL)
-_ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# A quote opens a value only right after '='; elsewhere it belongs to a name or a value. One that never closes is no quote.
+_TOKEN = re.compile(
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?+)*+)(>?)|[^<]+|<""",
+    re.DOTALL,
+)
+_ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
 _HIDES = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
 
 
@@ -38,7 +42,11 @@ class Node:
         self.depth = parent.depth + 1 if parent else 0
 
     def named(self) -> dict[str, str]:
-        return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(self.attrs)} if self.attrs.strip() else {}
+        """Attributes by lower-case name; of repeated ones the first counts."""
+        found: dict[str, str] = {}
+        for m in _ATTR.finditer(self.attrs):
+            found.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+        return found
 
 
 def parsed(source: str) -> Node:
@@ -48,10 +56,6 @@ def parsed(source: str) -> Node:
     match = _TOKEN.match
     while at < n:
         m = match(source, at)
-        if m is None:  # a quote that never closes: up to the next end of a tag
-            end = source.find(">", at)
-            at = end + 1 if end >= 0 else n
-            continue
         at = m.end()
         tag = m[2]
         if tag is None:
@@ -59,7 +63,7 @@ def parsed(source: str) -> Node:
             if text[0] != "<" or text == "<":
                 node.items.append(html.unescape(text) if "&" in text else text)
             continue
-        if not m[4]:
+        if not m[4]:  # the page ends within the tag
             break
         tag = tag.lower()
         if m[1]:

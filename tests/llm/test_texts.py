@@ -103,6 +103,29 @@ def test_pages_edge_cases(spark):
     assert rows.limit(0).select(htmltext.extracted(F.col("html")).alias("t")).count() == 0
 
 
+def _whole_text(source):
+    """All visible text of a page, by blocks."""
+    root = parsed(f"<div>{source}</div>")
+    return htmltext.blocks(root, {id(root.items[0]): True})
+
+
+def test_stray_quotes_lose_no_text():
+    for source, want in (
+        ("<p title=O'Reilly>First</p><p>Second</p>", ["First", "Second"]),
+        ('<p class="a"">One</p><p>Two</p><p class="b">Three</p>', ["One", "Two", "Three"]),
+        ("<p 'x>One</p><p>Two</p>", ["One", "Two"]),
+        ("<p class='a>One</p><p>Two</p>", ["One", "Two"]),
+        ('<p>One</p ">Two<p a=b"c d>Three', ["One", "Two", "Three"]),
+        ('<p a="x > y" b = \'>\' c=>One</p><br/><p/ d>Two', ["One", "Two"]),
+    ):
+        assert _whole_text(source) == want, source
+    node = parsed("<p title=O'Reilly class = \"a\"\" id='x y' data-x=\"1 > 0\" class=b hidden>t").items[0]
+    assert node.named() == {"title": "O'Reilly", "class": "a", '"': "", "id": "x y", "data-x": "1 > 0", "hidden": ""}
+    assert parsed("<p>a</p><p class='").items[0].items == ["a"] and len(parsed("<p>a</p><p class='").items) == 1
+    text = htmltext.main_text("<html><body><nav><a href=/>Home</a></nav><article title=O'Reilly><h1>Title</h1><p>First sentence, of the text.</p><p>Second one, it is.</p></article></body></html>", htmltext.trained())
+    assert text.split("\n\n") == ["Title", "First sentence, of the text.", "Second one, it is."]
+
+
 # ---- language
 
 
