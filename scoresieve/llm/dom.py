@@ -28,7 +28,8 @@ _TOKEN = re.compile(
     re.DOTALL,
 )
 _ATTR = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]*+)))?+""")
-_HIDES = re.compile(r"\bhidden\b|display\s*:\s*none", re.IGNORECASE)
+_HIDES = re.compile(r"\bhidden\b|\bstyle\b", re.IGNORECASE)
+_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*([\w-]+)[^;!]*(!\s*important)?", re.IGNORECASE)
 
 
 class Node:
@@ -106,4 +107,13 @@ def parsed(source: str) -> Node:
 
 
 def visible(node: Node) -> bool:
-    return node.tag not in HIDDEN and not (node.attrs and _HIDES.search(node.attrs) and ("hidden" in (a := node.named()) or "none" in a.get("style", "").lower()))
+    """Not so: elements that are never text, those whose style says display: none, and those with the attribute hidden and no display of their own."""
+    if node.tag in HIDDEN:
+        return False
+    if not (node.attrs and _HIDES.search(node.attrs)):
+        return True
+    named = node.named()
+    own = _DISPLAY.findall(re.sub(r"/\*.*?\*/", " ", named.get("style", ""), flags=re.DOTALL))
+    if own:  # the last one counts, of important ones if there are such
+        return ([d for d in own if d[1]] or own)[-1][0].lower() != "none"
+    return "hidden" not in named

@@ -126,6 +126,13 @@ def test_stray_quotes_lose_no_text():
     assert text.split("\n\n") == ["Title", "First sentence, of the text.", "Second one, it is."]
 
 
+def test_only_hidden_elements_are_dropped():
+    for attrs in ('style="overflow:hidden;border:none"', 'class="overflow-hidden" style="list-style:none"', 'aria-hidden="false" style="float:none"', 'data-x="display:none"', 'title="hidden"', 'style="/*;display:none*/color:red"', 'style="x-display:none"', 'style="display:none;display:block"', 'style="color:red" style="display:none"'):
+        assert _whole_text(f"<article {attrs}><p>Text</p></article>") == ["Text"], attrs
+    for attrs in ("hidden", 'HIDDEN=""', 'style="display:none"', "style='color:red; DISPLAY : none !important;display:block'", "style=display:none", 'style="/* a */display:none"'):
+        assert _whole_text(f"<article {attrs}><p>Text</p></article><p>More</p>") == ["More"], attrs
+
+
 # ---- language
 
 
