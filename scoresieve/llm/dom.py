@@ -12,8 +12,14 @@ BLOCKS = frozenset(
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose inside is no markup, and which are never text of a page.
-RAW = frozenset("script style noscript iframe template textarea title xmp noframes svg math object canvas".split())
-HIDDEN = RAW | {"head", "select", "option", "datalist", "audio", "video"}
+RAW = frozenset("script style noscript iframe template textarea title xmp noframes svg object canvas".split())
+#: Formulas, whose text is text of the block around them. Their tags say nothing about a page's layout.
+MATH = frozenset(
+    "math semantics annotation annotation-xml mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose "
+    "msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mlabeledtr mtd maction maligngroup malignmark mglyph".split()
+)
+#: annotation: a formula's source, which browsers do not show beside the formula.
+HIDDEN = RAW | {"head", "select", "option", "datalist", "audio", "video", "annotation", "annotation-xml"}
 CLOSES_P = BLOCKS - {"button", "option", "select", "body", "html", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li"} | {"hr"}
 #: An open element that a start tag ends, and what it does not look beyond.
 ENDS = {
@@ -94,10 +100,10 @@ def parsed(source: str) -> Node:
                 node = node.parent
         child = Node(tag, m[3], node)
         node.items.append(child)
-        if tag in VOID:
+        if tag in VOID or tag in MATH and m[3].endswith("/"):
             continue
         if tag in RAW:
-            if m[3].endswith("/") and tag in ("svg", "math"):
+            if m[3].endswith("/") and tag == "svg":
                 continue
             end = re.compile(rf"</{re.escape(tag)}\s*[^>]*(?:>|\Z)", re.IGNORECASE).search(source, at)
             at = end.end() if end else n

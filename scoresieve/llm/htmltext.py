@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dom import BLOCKS, Node, parsed, visible
+from .dom import BLOCKS, MATH, Node, parsed, visible
 from .trees import Boosted, boosted
 
 #: Pages that the model is trained on; they are generated, as no page comes with labels.
@@ -87,11 +87,12 @@ def parts_of(root: Node) -> list[Part]:
                 if not visible(item):
                     continue
                 own = part
-                if item.tag in BLOCKS or (item.attrs and item.tag not in ("a", "br", "img", "input", "wbr") and item.tag.isalpha()):
+                formula = item.tag in MATH
+                if item.tag in BLOCKS or (item.attrs and not formula and item.tag not in ("a", "br", "img", "input", "wbr") and item.tag.isalpha()):
                     parts.append(Part(item, part, begin=seen))
                     own = len(parts) - 1
                 if own >= 0:
-                    parts[own].tags += 1
+                    parts[own].tags += not formula
                     parts[own].paragraphs += item.tag == "p"
                     parts[own].controls += item.tag in ("input", "button", "select", "textarea", "label")
                 stack.append((item, own, link or item.tag == "a", iter(item.items)))
@@ -430,7 +431,7 @@ def extracted(html: Column, model: Boosted | None = None) -> Column:
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go. Character
     references are decoded, white space within a block becomes one space. Null and empty pages, and pages with no
-    content, give the empty string.
+    content, give the empty string. The text of MathML stays in its block, without annotations (the formula's source).
     """
     model = model or trained()
 

@@ -133,6 +133,14 @@ def test_only_hidden_elements_are_dropped():
         assert _whole_text(f"<article {attrs}><p>Text</p></article><p>More</p>") == ["More"], attrs
 
 
+def test_formulas_stay_in_their_block():
+    formula = '<math xmlns="http://www.w3.org/1998/Math/MathML" display="block"><semantics><mrow><mi>x</mi><mspace width="1em"/><mo stretchy="false">=</mo><mn>42</mn></mrow><annotation encoding="application/x-tex"/><annotation encoding="a">x=42 TeX</annotation></semantics></math>'
+    assert _whole_text(f"<p>Where {formula} holds<math/>.</p><p>Next</p>") == ["Where x=42 holds.", "Next"]
+    assert [p.node.tag for p in htmltext.parts_of(parsed(f"<p>Where {formula} holds.</p>"))] == ["p"]
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>The first sentence, of the text, says that {formula} holds.</p><p>Second one, it is.</p></article></body></html>"
+    assert htmltext.main_text(page, htmltext.trained()).split("\n\n") == ["Title", "The first sentence, of the text, says that x=42 holds.", "Second one, it is."]
+
+
 # ---- language
 
 
