@@ -78,6 +78,15 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     Rows that share an id and a text are treated alike; rows that share only an id are apart; null ids come back as null.
     Words are compared by 64-bit hashes. An empty benchmark hits nothing; only the named columns are read.
     """
+    return _overlaps(docs, benchmark, id_col, text_col, item_col, item_text).drop("text_hash")
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str, text_col: str, item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of overlaps() with ``text_hash``, which tells rows that share an id apart."""
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words_of(F.col(item_text)).alias("ws"))
     n = F.size("ws")
     short = [r[0] for r in items.where((n > 0) & (n < WINDOW)).select(n.alias("n")).distinct().collect()]  # nine lengths at most
@@ -88,8 +97,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     own = spark.range(SPREAD).select(F.lit(None).cast("string").alias("item"), F.lit(-1).alias("len"), F.col("id").alias("f"), F.lit(None).cast("array<bigint>").alias("theirs"))
     test = long_marks.union(short_marks).select("item", "m.len", "m.f", F.col("m.near").alias("theirs")).distinct().union(own)
 
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = docs.select(F.col(id_col).alias("d"), F.xxhash64(text).alias("t"), words_of(F.col(text_col)).alias("ws"))
+    base = docs.select(F.col(id_col).alias("d"), _text_hash(F.col(text_col)).alias("t"), words_of(F.col(text_col)).alias("ws"))
     base = _fingerprints(base, 0)
     count = F.array(F.struct(F.lit(-1).alias("len"), F.pmod("t", F.lit(SPREAD)).alias("f"), F.lit(-1).alias("p"), F.lit(None).cast("array<bigint>").alias("near")))
     marks = F.concat(count, "marks", *(_whole(x) for x in sorted(short)))
@@ -114,12 +122,12 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = counted.groupBy("d", "t").agg(F.max("n").alias("n"), F.sum("new").alias("hit"), F.array_sort(F.collect_set("item")).alias("items"), F.count_if(F.col("a").isNull()).alias("copies"))
     found = found.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return found.select(
-        F.col("d").alias("doc_id"), F.col("n").cast("long").alias("n_words"), F.col("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.col("d").alias("doc_id"), F.col("t").alias("text_hash"), F.col("n").cast("long").alias("n_words"), F.col("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), (F.col("hit") > 0).alias("contaminated"),
     )
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs none of whose words are hit, with all columns; rows with a null id stay."""
-    bad = overlaps(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_hit_id")).distinct()
-    return docs.join(bad, docs[id_col] == bad["_hit_id"], "left_anti")
+    """The rows of docs none of whose words are hit, with all columns. Each row goes by its own text, also where ids are null or shared."""
+    bad = _overlaps(docs, benchmark, id_col, text_col).where("contaminated").select(F.col("doc_id").alias("_hit_id"), F.col("text_hash").alias("_hit_text")).distinct()
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_hit_id"]) & (_text_hash(docs[text_col]) == bad["_hit_text"]), "left_anti")

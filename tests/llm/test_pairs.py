@@ -260,3 +260,11 @@ def test_overlaps_edge_cases(spark, docs_of):
     some = spark.createDataFrame([(1, "the item")], "item_id long, text string")
     kept = decontam.clean_documents(docs_of([(1, "has the item"), (2, "fine"), (None, "also fine")]), some)
     assert {r["doc_id"] for r in kept.collect()} == {2, None}
+
+
+def test_clean_documents_go_by_their_own_text(spark, docs_of):
+    some = spark.createDataFrame([(1, "the item")], "item_id long, text string")
+    rows = [(None, "has the item"), (None, "has the item"), (None, "fine"), (None, None), (3, "has the item"), (3, "clean"), (4, "The Item"), (5, "")]
+    kept = decontam.clean_documents(docs_of(rows), some)
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(None, "fine"), (None, None), (3, "clean"), (5, "")], key=str)
+    assert kept.columns == docs_of(rows).columns
