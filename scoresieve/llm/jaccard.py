@@ -14,9 +14,8 @@ leaves its weak blocks out as long as its strong ones alone still guarantee a
 hit: with M blocks, at most d are touched by a difference, so M - d - weak >= 1
 strong ones agree. Documents for which that fails publish all blocks. When a
 pair has one document of the first kind it meets in one of that one's strong
-blocks; otherwise both publish everything. For sets of many elements blocks are
-fewer and larger: a linked pair then shares a strong one but for a chance of MISS
-(of the order of that of a collision of hashes), and unrelated pairs rarely do.
+blocks; otherwise both publish everything. This holds for
+sets of every size, so no linked pair is missed.
 
 Only connectivity is wanted, so a group of copies is never expanded into pairs.
 The first round verifies each document against one hub: the least member of most
@@ -42,8 +41,6 @@ from .scratch import stored
 
 #: Ratio of the largest to the smallest set in a band.
 BAND = 1.5
-#: Probability that a pair at exactly the threshold shares no published block, where that is not certain.
-MISS = 1e-9
 #: Distinct documents whose ids may be broadcast (8 bytes each); beyond it they are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Partners of a document that one task compares with it.
@@ -63,7 +60,7 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.weak = 2 if num * 100 < 85 * den else 4
-        self.known: dict[int, tuple[int, int, bool]] = {}
+        self.known: dict[int, tuple[int, int]] = {}
 
     def low(self, band: int) -> int:
         return math.ceil(BAND**band - 1e-9)
@@ -80,25 +77,17 @@ class Bands:
         """Largest symmetric difference of two linked sets whose sizes add up to total."""
         return (self.den - self.num) * total // (self.den + self.num)
 
-    def blocks(self, band: int) -> tuple[int, int, bool]:
-        """Largest difference in this band, number of blocks, and whether all of a set's blocks may be needed (pigeonhole).
-
-        Where differences are many, fewer and larger blocks do: hashing deals differences to blocks at random, and
-        the number of blocks is the least for which a linked pair shares no strong one with a probability below MISS.
-        """
+    def blocks(self, band: int) -> tuple[int, int]:
+        """Largest difference in this band, and the number of blocks, which is always larger (pigeonhole)."""
         if band not in self.known:
             self.known[band] = self._blocks(band)
         return self.known[band]
 
-    def _blocks(self, band: int) -> tuple[int, int, bool]:
+    def _blocks(self, band: int) -> tuple[int, int]:
         low, high = self.low(band), self.low(band + 1) - 1
         d = self.most_apart(2 * high)
         if not d:
-            return 0, 1, True
-        sizes = {2 * high, low + -(-low * self.num // self.den), low + high}
-        for m in range(max(8, d // 8), d + 1, max(1, d // 50)):
-            if all(self._missed(total, m) <= MISS for total in sizes):
-                return d, m, False
+            return 0, 1
         m = d + 1
         for _ in range(40):
             rate = low / m
@@ -107,14 +96,7 @@ class Bands:
             if need <= m or m > 1.4 * d + 2:
                 break
             m = min(need, m + max(1, d // 20))
-        return d, m, True
-
-    def _missed(self, total: int, m: int) -> float:
-        """Bound of the probability that two sets of so many elements together, as different as links allow, share no strong block of m."""
-        apart = self.most_apart(total)
-        rate = (total - apart) / 2 / m
-        full = 1 - sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(self.weak))
-        return (1 - (1 - 1 / m) ** apart * full) ** m
+        return d, m
 
     def bits(self, band: int) -> int:
         """Bits of the sketch that candidates in this band are pruned by: so many that it is close to the true difference."""
@@ -133,7 +115,7 @@ class Bands:
         out = []
         place, flips = mix(tokens ^ np.uint64(0xA0761D6478BD642F)), None
         for band in self.joined(len(tokens)):
-            d, m, all_of_them = self.blocks(band)
+            d, m = self.blocks(band)
             block = ((place >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             if flips is None:  # the low 32 bits name the bit within the block; a value of its own for each bit makes patterns comparable as one number
                 flips = mix((place & np.uint64(0xFFFFFFFF)) ^ np.uint64(0xE7037ED100000000))
@@ -142,7 +124,7 @@ class Bands:
             np.bitwise_xor.at(value, block, flips)
             filled = np.bincount(block, minlength=m)
             strong = filled >= self.weak
-            if all_of_them and m - d - int((~strong).sum()) < 1:
+            if m - d - int((~strong).sum()) < 1:
                 strong[:] = True
             at = np.flatnonzero(strong)
             out.append(mix(value[at] ^ mix(at.astype(np.uint64) + np.uint64((band + 1) << 40))))
