@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import random
 import re
 import string
@@ -18,12 +19,15 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "markov")
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Documents whose words teach the model of ordinary identifiers: those with the smallest hashes.
 TRAIN_DOCS = 500
 #: Log-likelihood ratio that makes a candidate a secret, in nats for each character.
 THRESHOLD = 0.9
+#: Characters that a candidate has at least, and different ones among them (rows of dashes look random to the models).
+LEAST_LENGTH, LEAST_DISTINCT = 16, 8
+#: Means over fewer characters vary more: below this length the threshold grows as the square root of what is missing.
+SURE_LENGTH = 20
 
 _ORDINARY = """get set user name value index list item count size total file path open close read write page view model data table row column key
 map filter sort merge join group order first last next prev start end begin stop error warning message handler event listener request response
@@ -109,12 +113,26 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-def added_spans(text: str, base: list[tuple[int, int, str]], models: Models, threshold: float) -> list[tuple[int, int, str]]:
-    """Candidates apart from all base spans whose log-likelihood ratio reaches the threshold; digits alone are left out."""
+@functools.cache
+def _candidates(least: int) -> re.Pattern:
+    return re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}(?![A-Za-z0-9+/_=-])")
+
+
+def asked(threshold: float, length: int) -> float:
+    """The ratio that a candidate of so many characters must reach."""
+    return threshold * max(1.0, SURE_LENGTH / length) ** 0.5
+
+
+def added_spans(text: str, base: list[tuple[int, int, str]], models: Models, threshold: float, least: int = LEAST_LENGTH, distinct: int = LEAST_DISTINCT) -> list[tuple[int, int, str]]:
+    """Candidates apart from all base spans whose log-likelihood ratio reaches the threshold for their length; digits alone are left out.
+
+    A candidate is a whole run of letters, digits and +/_=- of at least `least` characters, `distinct` of them different.
+    One that overlaps a base span is left out, as that span reports it.
+    """
     out = []
-    for m in CANDIDATE.finditer(text):
+    for m in _candidates(least).finditer(text):
         s = m[0]
-        if len(set(s)) >= 8 and not any(a < m.end() and m.start() < b for a, b, _ in base) and not s.isdigit() and ratio(models, s) >= threshold:
+        if len(set(s)) >= distinct and not any(a < m.end() and m.start() < b for a, b, _ in base) and not s.isdigit() and ratio(models, s) >= asked(threshold, len(s)):
             out.append((m.start(), m.end(), "markov"))
     return out
 
@@ -122,7 +140,7 @@ def added_spans(text: str, base: list[tuple[int, int, str]], models: Models, thr
 RESULT = T.StructType([T.StructField("base", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("added", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
 
 
-def scanned(texts: Column, models: Models, threshold: float = THRESHOLD) -> Column:
+def scanned(texts: Column, models: Models, threshold: float = THRESHOLD, least: int = LEAST_LENGTH, distinct: int = LEAST_DISTINCT) -> Column:
     """For each whole text a struct of base and added spans (kind, start, end; code points, end exclusive).
 
     Both lists are sorted by start, then kind in the order assign, access, hex, markov. Null and empty texts have none.
@@ -137,7 +155,7 @@ def scanned(texts: Column, models: Models, threshold: float = THRESHOLD) -> Colu
             text = column[i].as_py() or ""
             own = sorted(base_spans(text), key=key)
             base.append([{"kind": k, "start": a, "end": b} for a, b, k in own])
-            added.append([{"kind": k, "start": a, "end": b} for a, b, k in added_spans(text, own, models, threshold)])
+            added.append([{"kind": k, "start": a, "end": b} for a, b, k in added_spans(text, own, models, threshold, least, distinct)])
         return pa.StructArray.from_arrays([pa.array(base, pa.list_(item)), pa.array(added, pa.list_(item))], ["base", "added"])
 
     return scan(texts)

@@ -46,6 +46,18 @@ def test_markov_models_tell_random_strings_from_identifiers():
     assert secrets.added_spans(text, [(0, 10, "hex")], models, secrets.THRESHOLD) == []
 
 
+def test_shorter_random_strings_are_scored():
+    models = secrets.trained(*secrets.samples([]))
+    noise, plain = secrets.samples(["thing", "reading", "station", "letter"], 4000, seed=98)
+    spans = lambda s, **options: secrets.added_spans(f"see {s} now", [], models, secrets.THRESHOLD, **options)
+    short = [s[: 16 + i % 4] for i, s in enumerate(noise)]
+    assert sum(bool(spans(s)) for s in short) > 0.75 * len(short)
+    own = [s for s in plain if 16 <= len(s) < 20]
+    assert len(own) > 200 and sum(bool(spans(s)) for s in own) < 0.01 * len(own)
+    assert spans("xK9f2LqPz7RbW4mT") and not spans("xK9f2LqPz7RbW4m") and not spans("xK9f2LqPz7RbW4mT", least=20) and not spans("xK9f2LqPz7RbW4mT", distinct=17)
+    assert spans("xK9f2LqPz7RbW4m", least=12)
+
+
 def test_scan_edge_cases(spark, docs_of):
     docs = docs_of(["", None, "x" * 200_000 + " password=hunter22", "password=hunter22", "password=hunter22"])
     got = {r["doc_id"]: r["s"] for r in docs.withColumn("s", secrets.scanned(F.col("text"), secrets.learned(docs))).collect()}
