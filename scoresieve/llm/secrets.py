@@ -22,6 +22,8 @@ KINDS = ("assign", "access", "hex", "markov")
 _ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Documents whose words teach the model of ordinary identifiers: those with the smallest hashes.
 TRAIN_DOCS = 500
+#: Different words of theirs that it is made of at most, the most frequent first.
+TRAIN_WORDS = 5000
 #: Log-likelihood ratio that makes a candidate a secret, in nats for each character.
 THRESHOLD = 0.9
 #: Characters that a candidate has at least, and different ones among them (rows of dashes look random to the models).
@@ -93,16 +95,17 @@ def samples(words: list[str], n: int = 4000, seed: int = 11) -> tuple[list[str],
     return noise, plain
 
 
-def learned(docs: DataFrame, text_col: str = "text", most_docs: int = TRAIN_DOCS) -> Models:
+def learned(docs: DataFrame, text_col: str = "text", most_docs: int = TRAIN_DOCS, most_words: int = TRAIN_WORDS) -> Models:
     """Train on generated random strings and on identifiers made of the words of a bounded sample of documents.
 
-    Words of four letters and more, without digits, from the most_docs texts with the smallest hashes.
+    Words of four letters and more, without digits, from the most_docs texts with the smallest hashes; of these
+    words the most_words that most of the texts hold.
     """
     own = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     last = own.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]  # hashes alone are gathered, not texts
     few = own.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")) if last is not None else own.limit(0)
     words = few.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{4,24}\b"), F.lit(0)))).alias("w")).groupBy("w").count()
-    rows = words.orderBy(F.desc("count"), "w").limit(5000).collect()
+    rows = words.orderBy(F.desc("count"), "w").limit(most_words).collect()
     return trained(*samples([r["w"] for r in rows]))
 
 

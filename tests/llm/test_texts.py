@@ -58,6 +58,15 @@ def test_shorter_random_strings_are_scored():
     assert spans("xK9f2LqPz7RbW4m", least=12)
 
 
+def test_words_for_the_models_are_bounded_by_a_parameter(docs_of, monkeypatch):
+    taken = []
+    monkeypatch.setattr(secrets, "samples", lambda words: taken.append(words) or ([], []))
+    docs = docs_of(["common alpha", "common beta", "common gamma alpha"])
+    secrets.learned(docs, most_words=2)
+    secrets.learned(docs)
+    assert taken == [["common", "alpha"], ["common", "alpha", "beta", "gamma"]] and secrets.TRAIN_WORDS == 5000
+
+
 def test_scan_edge_cases(spark, docs_of):
     docs = docs_of(["", None, "x" * 200_000 + " password=hunter22", "password=hunter22", "password=hunter22"])
     got = {r["doc_id"]: r["s"] for r in docs.withColumn("s", secrets.scanned(F.col("text"), secrets.learned(docs))).collect()}
