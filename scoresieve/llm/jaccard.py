@@ -17,6 +17,10 @@ pair has one document of the first kind it meets in one of that one's strong
 blocks; otherwise both publish everything. This holds for
 sets of every size, so no linked pair is missed.
 
+Equal sets are one representative, and only representatives publish keys. What a key is shared by is found by
+aggregation, and rows are joined to it so that no frequent key is one task's (see ``skew``); members of a large bucket
+are compared in tiles.
+
 Only connectivity is wanted, so a group of copies is never expanded into pairs.
 The first round verifies each document against one hub: the least member of most
 of its buckets. The second verifies the pairs across components in a slice of the
@@ -32,12 +36,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
 from .hashing import WordHasher, mix, shingle_set
-from .scratch import stored
+from .scratch import dropped, stored, unused
+from .skew import joined
 
 #: Ratio of the largest to the smallest set in a band.
 BAND = 1.5
@@ -45,6 +50,8 @@ BAND = 1.5
 BROADCAST_IDS = 500_000
 #: Partners of a document that one task compares with it.
 MEMBERS = 2000
+#: Members of a bucket that are compared with one another in one piece.
+TILE = 1024
 #: Longs of the sketch that buckets are pruned by, above and below a similarity of 0.85. Two unrelated sets differ in
 #: half of its bits; it must have so many that this is more than linked sets of common sizes may differ by.
 NARROW, BROAD = 4, 12
@@ -161,14 +168,14 @@ def _folds(num: int, den: int) -> list[str]:
 
 
 def _meta_schema(num: int, den: int) -> str:
-    return "id long, n long, s1 long, s2 long, " + ", ".join(f"{f} long" for f in _folds(num, den)) + ", band int, wide array<array<bigint>>"
+    return "id long, n long, s1 long, s2 long, " + ", ".join(f"{f} long" for f in _folds(num, den)) + ", band int, wide array<array<bigint>>, keys array<bigint>"
 
 
 def _meta(shingle: int, num: int, den: int):
     def run(batches):
         hasher, bands, names = WordHasher(), Bands(num, den), _folds(num, den)
         for batch in _slices(batches):
-            n, one, two, fold, band, wide = [], [], [], [], [], []
+            n, one, two, fold, band, wide, keys = [], [], [], [], [], [], []
             for tokens in _each(hasher, batch, shingle):
                 n.append(len(tokens))
                 hashed = mix(tokens)
@@ -177,22 +184,13 @@ def _meta(shingle: int, num: int, den: int):
                 fold.append(_folded(hashed, 64 * len(names)))
                 band.append(bands.of(len(tokens)))
                 wide.append([_folded(hashed, bands.bits(b)) for b in bands.joined(len(tokens))] if len(tokens) else [])
+                keys.append(bands.keys(tokens) if len(tokens) else tokens)
             fold = np.array(fold, np.int64).reshape(-1, len(names))
             inner = _lists([x.view(np.uint64) for own in wide for x in own])
             offsets = np.r_[0, np.cumsum([len(own) for own in wide])].astype(np.int32)
             numbers = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two))
-            columns = [batch.column(0), pa.array(n, pa.int64()), *numbers, *(pa.array(fold[:, i]) for i in range(len(names))), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), inner)]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", *names, "band", "wide"])
-
-    return run
-
-
-def _block_keys(shingle: int, num: int, den: int):
-    def run(batches):
-        hasher, bands = WordHasher(), Bands(num, den)
-        for batch in _slices(batches):
-            keys = [bands.keys(tokens) if len(tokens) else tokens for tokens in _each(hasher, batch, shingle)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists(keys)], ["id", "keys"])
+            columns = [batch.column(0), pa.array(n, pa.int64()), *numbers, *(pa.array(fold[:, i]) for i in range(len(names))), pa.array(band, pa.int32()), pa.ListArray.from_arrays(pa.array(offsets), inner), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "n", "s1", "s2", *names, "band", "wide", "keys"])
 
     return run
 
@@ -221,20 +219,22 @@ def _compared(shingle: int, num: int, den: int):
 
 
 def _verified(pairs: DataFrame, table: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) whose exact shingle sets are similar enough.
+    """The pairs (a, b) whose exact shingle sets are similar enough, as a stored table.
 
     Texts travel, as they are far smaller than their sets: each b once for each of its pairs, and each a once for every
     MEMBERS of its pairs, so that a hub with very many partners is spread over tasks. A task holds one hub's set.
     """
     pairs = stored(pairs, "pairs")
-    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / MEMBERS).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"))
+    total = pairs.count()
+    parts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).withColumn("parts", F.ceil(F.col("size") / MEMBERS).cast("int"))
+    members = joined(pairs, parts, ["a"], total, "size").select(F.col("b").alias("id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("member"))
     hubs = parts.select(F.col("a").alias("id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("member"))
     jobs = members.union(hubs)
-    few = pairs.count() <= BROADCAST_IDS
-    rows = table.join(F.broadcast(jobs) if few else jobs, "id").select("hub", "text", "part", "member", "id")
+    rows = table.join(F.broadcast(jobs) if total <= BROADCAST_IDS else jobs, "id").select("hub", "text", "part", "member", "id")
     rows = rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "member")
-    return rows.mapInArrow(_compared(shingle, num, den), "a long, b long")
+    links = stored(rows.mapInArrow(_compared(shingle, num, den), "a long, b long"), "links")
+    dropped(pairs)
+    return links
 
 
 def _near(x: str, y: str, num: int, den: int):
@@ -258,24 +258,33 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
     * Texts of any length are hashed whole, about a MB at a time. An empty table gives no rows.
     * Only id_col and text_col are read; other columns are ignored whatever their names.
     """
+    return _grouped(docs, shingle, num, den, id_col, text_col)[1]
+
+
+def _grouped(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The stored table of sets, and the rows of similar_documents()."""
     folds = _folds(num, den)
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     meta = stored(table.mapInArrow(_meta(shingle, num, den), _meta_schema(num, den)), "sets")
     known = meta.where("n > 0 and id is not null")
-    reps = known.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep"))
+    same_set = ["n", "s1", "s2"]
+    reps = known.groupBy(*same_set).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     # Documents that share an id are one node, so that node has an edge to each of its sets' representatives.
-    node = known.join(reps, ["n", "s1", "s2"]).select("id", "rep", "n", *folds, "band", "wide")
-    same = node.where("id != rep").select(F.col("id").alias("b"), F.col("rep").alias("a"))
-
-    keyed = table.where("id is not null").mapInArrow(_block_keys(shingle, num, den), "id long, keys array<long>")
-    rows = keyed.select("id", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    shared = rows.select("key", "id", F.min("id").over(bucket).alias("lo"), F.max("id").over(bucket).alias("hi")).where("lo != hi").select("key", "id")
-    owner = node.select("id", "rep").distinct()
-    shared = shared.join(owner, "id").select("key", "rep").distinct()
-    buckets = stored(shared.select("key", "rep", F.min("rep").over(bucket).alias("lo"), F.max("rep").over(bucket).alias("hi")).where("lo != hi"), "buckets")
-
-    shape = stored(node.where("id = rep").select("rep", "n", *folds, "band", "wide").dropDuplicates(["rep", "n", *folds]), "shapes")
+    node = joined(known.select("id", *same_set), reps, same_set, known.count(), "size")
+    same = stored(node.where("id != rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct(), "same")
+
+    # (A document that shares its id with a representative may publish too, which is one node all the same.)
+    first = reps.select("rep").distinct()
+    few = first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = known.join(F.broadcast(first) if few else first, known["id"] == first["rep"]).drop("id")
+    if not few:
+        chosen = stored(chosen, "chosen")
+    shape = chosen.select("rep", "n", *folds, "band", "wide").dropDuplicates(["rep", "n", *folds])
+    shape = stored(shape, "shapes")
+    rows = chosen.select("rep", F.explode("keys").alias("key"))
+    shared = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").drop("hi")
+    published = chosen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
+    buckets = stored(joined(rows, shared, ["key"], published, "size").select("key", "rep", "lo"), "buckets")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and folded sketches do not rule out."""
@@ -291,44 +300,57 @@ def similar_documents(docs: DataFrame, shingle: int = 5, num: int = 8, den: int
         times = rows.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"))
         return times.groupBy("b").agg(F.max_by("a", F.struct(F.col("times"), -F.col("a"))).alias("a")).select("a", "b")
 
-    known_links = stored(_verified(possible(of_most(buckets.where("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")))), table, shingle, num, den), "links")
+    known_links = _verified(possible(of_most(buckets.where("rep != lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")))), table, shingle, num, den)
 
     def torn_buckets(links: DataFrame) -> DataFrame:
-        """Rows of the buckets whose members are not all connected yet: key, rep, and component c."""
+        """Rows of the buckets whose members are not all connected yet: key, rep, component c, and how many rows the bucket has."""
         labels = components(links).select(F.col("id").alias("rep"), "component_id")
-        labelled = buckets.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("c"))
-        return stored(labelled.withColumns({"c0": F.min("c").over(bucket), "c1": F.max("c").over(bucket)}).where("c0 != c1"), "torn")
+        labelled = stored(buckets.select("key", "rep").join(labels, "rep", "left").select("key", "rep", F.coalesce("component_id", "rep").alias("c")), "labelled")
+        torn = labelled.groupBy("key").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count(F.lit(1)).alias("size")).where("c0 != c1").select("key", "size")
+        out = stored(joined(labelled, torn, ["key"], labelled.count(), "size"), "torn")
+        dropped(labelled)
+        return out
 
     sliced = F.pmod(F.xxhash64("key"), F.lit(SLICES)) == 0
     in_slice = buckets.where(sliced).groupBy("rep").agg(F.collect_set("key").alias("seen"))
 
     def across(torn: DataFrame, again: bool) -> DataFrame:
         """Pairs of members of different components in the same bucket; the second time without those that a bucket of the slice holds."""
-        rows = torn.select("key", "rep", "c").join(shape.drop("band", "wide"), "rep")
+        tiled = torn.withColumn("chunks", F.ceil(F.col("size") / TILE).cast("int")).withColumn("chunk", F.pmod(F.xxhash64("rep"), F.col("chunks")).cast("int"))
+        tiled = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+        tiled = tiled.select("key", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "rep", "c")
+        rows = tiled.join(shape.drop("band", "wide"), "rep")
         if again:
             rows = rows.join(in_slice, "rep", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<bigint>")))
         x, y = rows.alias("x"), rows.alias("y")
-        wanted = (F.col("x.key") == F.col("y.key")) & (F.col("x.c") < F.col("y.c")) & _near("x", "y", num, den)
+        wanted = (F.col("x.key") == F.col("y.key")) & (F.col("x.low") == F.col("y.low")) & (F.col("x.high") == F.col("y.high"))
+        wanted &= (F.col("x.c") < F.col("y.c")) & ((F.col("x.low") == F.col("x.high")) | (F.col("x.chunk") != F.col("y.chunk"))) & _near("x", "y", num, den)
         pairs = x.join(y, wanted & ~F.arrays_overlap("x.seen", "y.seen") if again else wanted)
         return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
-    more = _verified(possible(across(torn_buckets(known_links).where(sliced), False)), table, shingle, num, den)
-    known_links = stored(known_links.union(more), "links")
-    rest = _verified(possible(across(torn_buckets(known_links), True)), table, shingle, num, den)
-
-    links = known_links.union(rest).union(same.select("a", "b"))
+    torn = torn_buckets(known_links)
+    known_links = known_links.union(_verified(possible(across(torn.where(sliced), False)), table, shingle, num, den))
+    dropped(torn)
+    torn = torn_buckets(known_links)
+    links = known_links.union(_verified(possible(across(torn, True)), table, shingle, num, den)).union(same)
+    dropped(torn)
     final = components(links).withColumnRenamed("id", "_id")
     out = meta.select("id", "n").join(final, F.col("id") == F.col("_id"), "left")
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return meta, out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, num: int = 8, den: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the smallest id of their group, with all columns.
 
-    Rows with a null id stay, and so do all rows that share an id that stays.
+    Rows with a null id stay, as nothing tells them apart. Rows that share an id that stays are one document: each of
+    their different texts stays once (with the other columns of one of its rows). An empty table gives no rows.
     """
-    id_col = options.get("id_col", "doc_id")
-    groups = similar_documents(docs, **options)
-    others = groups.where("doc_id != component_id").select(F.col("doc_id").alias("_dropped")).distinct()
-    kept = docs.join(others, docs[id_col] == others["_dropped"], "left_anti")
-    return kept
+    meta, groups = _grouped(docs, shingle, num, den, id_col, text_col)
+    others, repeated, text = unused(docs, "dropped", "repeated", "text_hash")
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(others)).distinct()
+    kept = docs.join(gone, docs[id_col] == gone[others], "left_anti")
+    twice = stored(meta.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("id").alias(repeated)), "repeated")
+    if twice.isEmpty():
+        return kept
+    one = kept.join(twice, kept[id_col] == twice[repeated], "left_semi").withColumn(text, F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).dropDuplicates([id_col, text]).drop(text)
+    return kept.join(twice, kept[id_col] == twice[repeated], "left_anti").unionByName(one)
