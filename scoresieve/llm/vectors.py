@@ -31,7 +31,7 @@ RECALL = 0.998
 #: Vectors in a bucket by chance, about; tables get more bits as the number of vectors grows.
 BY_CHANCE = 256
 #: Rows of a bucket that are compared with one another in one piece; larger buckets are cut into tiles.
-TILE = 2048
+TILE = 1024
 #: Standard deviations below the threshold at which an estimate excludes a pair.
 SIGMAS = 5.0
 SEED = 4
