@@ -16,15 +16,18 @@ from .sources import files, index, pool
 
 
 def _normalize(a):
+    """Every line is written, in order: records with new scores, blank lines and lines that are no record as they were."""
     spark = session()
-    rows = pool.read_pool(spark, a.input, a.scores_field, "keep")
+    rows = pool.records(pool.read_lines(spark, a.input), a.scores_field)
     keys = a.keys or pool.every_key(rows)
-    limits = normalize.bounds_dict(normalize.bounds(index.wide(rows, keys), keys, *a.pct_range))
+    table = index.wide(rows.where("has_scores").select("scores"), keys)
+    limits = normalize.bounds_dict(normalize.bounds(table, keys, *a.pct_range, a.accuracy))
     if not limits:
         raise SystemExit("no numeric scores")
-    out = normalize.normalized_map(rows, limits, a.flip_keys or (), a.keep_original)
-    pool.write_json_lines(out.drop("raw", "source_scores", "has_scores", "scores_other").orderBy("line_idx"), a.output)
-    normalize.clip_stats(index.wide(rows, keys), limits, a.flip_keys or ()).show(1000, False)
+    normalize.clip_stats(table, limits, a.flip_keys or ()).show(1000, False)
+    entries = normalize.normalized_entries(F.col("entries"), F.col("scores"), limits, a.flip_keys or (), a.keep_original)
+    fields = F.when(F.col("has_scores"), pool.put(F.col("fields"), {a.scores_field: pool.object_text(entries)})).otherwise(F.col("fields"))
+    pool.write_or_replace(rows.select("line_idx", pool.rewritten(fields, F.col("raw")).alias("raw")).orderBy("line_idx"), a.output, a.input)
 
 
 def _index(a):
@@ -35,23 +38,36 @@ def _index(a):
 
 
 def _layers(a):
+    """Records with the clusters' scores; blank lines and lines that are no record are left out."""
     spark = session()
-    rows = pool.read_pool(spark, a.input, a.scores_field, "drop")
-    weights = files.load_all_weights(a.weights)
+    rows = pool.records(pool.read_lines(spark, a.input), a.scores_field).where("fields is not null")
+    pool.write_or_replace(layered(rows, files.load_all_weights(a.weights), a.scores_field).orderBy("line_idx"), a.output, a.input)
+
+
+def layered(rows, weights, scores_field="scores"):
+    """``line_idx`` and ``raw`` of records (see ``pool.records``) with each cluster's sum and scaled sum among their scores."""
     keys = sorted({k for w in weights.values() for k in w})
-    table = rows.select("line_idx", "raw", "id", "scores", *(F.col("scores")[k].alias(k) for k in keys))
-    done = scoring.layer_scores(table, weights)
-    new = [c for w in weights for c in (w, f"{w}_orig")]
-    merged = F.map_concat(F.coalesce("scores", F.create_map().cast("map<string,double>")), F.create_map(*(x for c in new for x in (F.lit(c), F.col(c)))))
-    pool.write_json_lines(done.select("line_idx", "id", merged.alias("scores")), a.output)
+    names = {k: f"score {i}" for i, k in enumerate(keys)}
+    table = rows.select("line_idx", "raw", "fields", "entries", *(F.col("scores")[k].alias(names[k]) for k in keys))
+    done = scoring.layer_scores(table, {f"cluster {c}": {names[k]: w for k, w in own.items()} for c, own in weights.items()})
+    new = {n: pool.number_text(F.col(f"cluster {c}{end}")) for c in weights for n, end in ((f"{c}_orig", "_orig"), (c, ""))}
+    none = F.array().cast("array<struct<key:string,text:string>>")
+    entries = pool.put(F.coalesce("entries", none), new)
+    return done.select("line_idx", pool.rewritten(pool.put(F.col("fields"), {scores_field: pool.object_text(entries)}), F.col("raw")).alias("raw"))
 
 
 def _final(a):
+    """Records with scores get final_score; other lines stay, blank ones are left out."""
     spark = session()
-    rows = pool.read_pool(spark, a.input, a.scores_field, "keep")
-    rows = rows.withColumn("scores", F.when(F.col("has_scores"), F.col("scores")))
-    out = scoring.final_score(rows, files.load_weights(a.weights))
-    pool.write_json_lines(out.drop("raw", "source_scores", "has_scores", "scores_other"), a.output)
+    rows = pool.records(pool.read_lines(spark, a.input), a.scores_field).where(F.trim("raw") != "")
+    pool.write_or_replace(finished(rows, files.load_weights(a.weights)).orderBy("line_idx"), a.output, a.input)
+
+
+def finished(rows, weights):
+    """``line_idx`` and ``raw`` of records (see ``pool.records``) with the weighted sum of their scores as final_score."""
+    done = scoring.final_score(rows.withColumn("scores", F.when(F.col("has_scores"), F.col("scores"))), weights)
+    fields = F.when(F.col("has_scores"), pool.put(F.col("fields"), {"final_score": pool.number_text(F.col("final_score"))})).otherwise(F.col("fields"))
+    return done.select("line_idx", pool.rewritten(fields, F.col("raw")).alias("raw"))
 
 
 def _sample(a):
@@ -59,10 +75,19 @@ def _sample(a):
         raise SystemExit("k must be above 0 and at most 100")
     spark = session()
     lines = pool.read_lines(spark, a.input)
-    kind = f"cluster_id long, `{a.score_field}` double"
-    rows = lines.where(F.trim("raw") != "").withColumn("_j", F.from_json("raw", kind)).select("line_idx", "raw", "_j.*")
-    chosen = selection.top_percent(rows, a.score_field, a.k, "cluster_id" if a.per_cluster else None)
+    # A cluster's id may be a number or text; as JSON text both are told apart.
+    parsed = F.from_json("raw", f"cluster_id variant, `{a.score_field}` variant")
+    rows = lines.where(F.trim("raw") != "").withColumn("_j", parsed)
+    number = F.try_variant_get(F.col(f"_j.`{a.score_field}`"), "$", "double")
+    rows = rows.select("line_idx", "raw", F.when(F.schema_of_variant("_j.cluster_id") != "VOID", F.to_json("_j.cluster_id")).alias("cluster_id"), number.alias("score"))
+    group = "cluster_id" if a.per_cluster else None
+    quota = selection.quotas(rows, "score", a.k, group)
+    quota.orderBy("group").show(20, False)
+    chosen = selection.top_percent(rows, "score", a.k, group, quota=quota)
     pool.write_raw(chosen.orderBy("line_idx"), a.output)
+    short = selection.unfilled(chosen, quota, group).count()
+    if short:
+        print(f"{short} groups have fewer rows than their quota")
 
 
 def _metrics(a):
@@ -75,9 +100,12 @@ def _metrics(a):
     if not keys:
         raise SystemExit("none of the wanted metrics exists")
     table = index.wide(rows, keys).persist()
-    clusters = metrics.metric_clusters(table, keys, a.n_clusters, a.method, a.use_absolute_corr)
-    corr = metrics.correlations(table, sorted(clusters))
-    means = {r["cluster"]: r["mean_corr"] for r in metrics.within_clusters(corr, clusters).collect()}
+    try:
+        clusters = metrics.metric_clusters(table, keys, a.n_clusters, a.method, a.use_absolute_corr)
+        corr = metrics.correlations(table, sorted(clusters))
+        means = {r["cluster"]: r["mean_corr"] for r in metrics.within_clusters(corr, clusters).collect()}
+    finally:
+        table.unpersist()
     report = metrics.report(clusters, files.display_names(a.score_names) if a.score_names else None, means)
     Path(a.output).write_text(report)
     print(report)
@@ -98,9 +126,13 @@ def _embed(a):
 def _kmeans(a):
     spark = session()
     data = files.read_array(spark, a.input_path) if a.input_path.endswith(".npy") else spark.read.parquet(a.input_path)
-    labels, centroids = vectors.kmeans(data, a.opt_k, a.max_epochs)
+    labels, centroids = vectors.mini_batches(data, a.opt_k, a.batch_size, a.max_epochs) if a.batch_size else vectors.kmeans(data, a.opt_k, a.max_epochs)
     labels.select("line_idx", "cluster_id").write.mode("overwrite").parquet(f"{a.output_dir}/labels")
     centroids.write.mode("overwrite").parquet(f"{a.output_dir}/centroids")
+    labels = session().read.parquet(f"{a.output_dir}/labels")
+    if a.npy:
+        files.write_array(labels, f"{a.output_dir}/cluster_labels.npy", "line_idx", "cluster_id")
+        files.write_array(centroids, f"{a.output_dir}/cluster_centroids.npy", "cluster_id", "centroid")
     vectors.distribution(labels).show()
     vectors.sizes_of(labels).orderBy("cluster_id").show(20)
 
@@ -109,9 +141,9 @@ def _assign(a):
     spark = session()
     rows = pool.read_lines(spark, a.input_jsonl)
     labels = files.read_array(spark, a.labels_path, "cluster_id").withColumn("cluster_id", F.col("cluster_id").cast("int")) if a.labels_path.endswith(".npy") else spark.read.parquet(a.labels_path)
-    out = vectors.assign_clusters(rows, labels).where(F.try_parse_json("raw").isNotNull())
-    added = F.concat(F.regexp_replace(F.rtrim("raw"), r"\}$", ""), F.lit(', "cluster_id": '), F.col("cluster_id"), F.lit("}"))
-    pool.write_raw(out.withColumn("raw", added).orderBy("line_idx"), a.output_jsonl)
+    out = pool.records(vectors.assign_clusters(rows, labels)).join(labels.select("line_idx", "cluster_id"), "line_idx").where("fields is not null")
+    added = pool.put(F.col("fields"), {"cluster_id": F.col("cluster_id").cast("string")})
+    pool.write_or_replace(out.select("line_idx", pool.rewritten(added, F.col("raw")).alias("raw")).orderBy("line_idx"), a.output_jsonl, a.input_jsonl)
 
 
 def _summary(a):
@@ -144,7 +176,7 @@ def _search(a):
         print(search.enqueue(study, files.load_enqueued(c.enqueue_weights_json), s))
     module, _, name = a.objective.partition(":")
     objective = getattr(importlib.import_module(module), name)(spark, c)
-    best = search.run(study, table, objective, c.n_trials, s, rows, c.run_dir, c.max_trials_in_dir)
+    best = search.run(study, table, objective, c.n_trials, s, rows, c.run_dir, c.max_trials_in_dir, validation=c.val_jsonl, cache=c.cache_pool_in_memory)
     print(json.dumps({"trial": best.number, "loss": best.value, "weights": best.weights}))
 
 
@@ -164,6 +196,7 @@ def parser() -> argparse.ArgumentParser:
     arg("-i", "--input", required=True)
     arg("-o", "--output", required=True)
     arg("--pct-range", nargs=2, type=float, required=True)
+    arg("--accuracy", type=int, help="approximate percentiles, ranks off by at most 1 / accuracy of the rows")
     arg("--keys", nargs="+")
     arg("--keep-original", action="store_true")
     arg("--flip-keys", nargs="+")
@@ -177,7 +210,7 @@ def parser() -> argparse.ArgumentParser:
         arg = command(name, run)
         arg("-i", "--input", required=True)
         arg("-w", "--weights", required=True)
-        arg("-o", "--output", required=True)
+        arg("-o", "--output", help="the input is replaced if this is left out")
         arg("-s", "--scores-field", default="scores")
     arg = command("sample", _sample)
     arg("-i", "--input", required=True)
@@ -210,10 +243,12 @@ def parser() -> argparse.ArgumentParser:
     arg("--output_dir", default=".")
     arg("--opt_k", type=int, default=2000)
     arg("--max_epochs", type=int, default=10)
+    arg("--batch_size", type=int, default=0, help="lines of a mini-batch; 0 clusters by passes over all lines")
+    arg("--npy", action="store_true", help="also write .npy files, for results that fit into the driver")
     arg = command("assign", _assign)
     arg("--input_jsonl", required=True)
     arg("--labels_path", required=True)
-    arg("--output_jsonl", required=True)
+    arg("--output_jsonl", help="the input is replaced if this is left out")
     arg = command("summary", _summary)
     arg("-i", "--input", required=True)
     arg("-o", "--output", required=True)

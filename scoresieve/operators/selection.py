@@ -1,7 +1,7 @@
 """Top-k and top-percent selection with exact rules for ties.
 
-None of these sorts a whole group in one task: thresholds are found between approximate percentiles, ties are cut by
-counts over blocks of lines.
+None of these sorts a whole group in one task: thresholds are bracketed by approximate percentiles until few values
+are left between the ends, ties are cut by counts over blocks of lines.
 """
 
 from __future__ import annotations
@@ -9,12 +9,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import double
+from ..functions.expressions import double, unused
 
-#: Groups up to this size are ranked over all their distinct values.
+#: Groups up to this size are ranked over all their distinct values; larger ones over as many between the ends of a bracket.
 SMALL_GROUP = 100_000
 ACCURACY = 10_000
 BLOCK = 1 << 16
+#: Groups whose sizes, quotas and thresholds may be broadcast, about 100 bytes each.
+BROADCAST_GROUPS = 500_000
+#: Groups whose numbers pass through the driver, so that no later step computes them anew.
+LOCAL_GROUPS = 50_000
 
 
 def _ranked(table: DataFrame, score: str) -> DataFrame:
@@ -58,51 +62,92 @@ def quotas(table: DataFrame, score: str, percent: float, group: str | None = Non
     g = F.col(group) if group else F.lit("")
     rows = _ranked(table, score).where(g.isNotNull()).select(g.alias("group"), F.col(score).cast("double").alias("score"))
     part = percent / 100.0
-    p = 1 - part
-    near = F.percentile_approx("score", F.array(double(max(0.0, p - 4 / ACCURACY)), double(min(1.0, p + 4 / ACCURACY))), ACCURACY)
-    sizes = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), near.alias("p"))
+    inf = double("inf")
+
+    ends = F.array(double(max(0.0, 1 - part - 4 / ACCURACY)), double(min(1.0, 1 - part + 4 / ACCURACY)))
+    state = rows.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("score", ends, ACCURACY).alias("p"))
     keep = F.greatest(F.lit(1), F.ceil(F.col("n").cast("double") * double(part)).cast("long"))
     small = F.col("n") <= SMALL_GROUP
-    sizes = sizes.select("group", "n", keep.alias("n_keep"), F.when(small, double("-inf")).otherwise(F.col("p")[0]).alias("low"), F.when(small, double("inf")).otherwise(F.col("p")[1]).alias("high"))
+    state = _settled(state.select("group", "n", keep.alias("n_keep"), F.when(small, -inf).otherwise(F.col("p")[0]).alias("low"), F.when(small, inf).otherwise(F.col("p")[1]).alias("high")))
+    groups, last = state.agg(F.count(F.lit(1)), F.max("n")).first()
+    few = lambda x: F.broadcast(x) if groups <= BROADCAST_GROUPS else x
+    c = F.col("score")
+    # A first bracket holds some 10 of ACCURACY values of a group at most: enough but for very large groups.
+    narrow = last is not None and last > SMALL_GROUP * ACCURACY / 10
+    while narrow:
+        within = (c >= F.col("low")) & (c <= F.col("high"))
+        seen = rows.join(few(state), "group").groupBy("group", "n", "n_keep", "low", "high").agg(
+            F.count_if(c > F.col("high")).alias("above"), F.count_if(within).alias("m"), F.count_if((c > F.col("low")) & (c < F.col("high"))).alias("between"),
+            F.percentile_approx(F.when(within, c), F.array(*(double(i / 100) for i in range(101))), ACCURACY).alias("p"),
+        )
+        # The wanted rank among those within, as a place among their percentiles; the new ends are one and two beside it.
+        at = F.floor((F.col("m") - (F.col("n_keep") - F.col("above"))) / F.col("m") * 100).cast("int")
+        again = F.col("between") > SMALL_GROUP
+        low = F.when(again & (at > 1), F.get("p", at - 1)).otherwise(F.col("low"))
+        high = F.when(again & (at < 98), F.get("p", at + 2)).otherwise(F.col("high"))
+        state = _settled(seen.select("group", "n", "n_keep", low.alias("low"), high.alias("high"), F.when(again, F.col("between")).alias("between")))
+        most = state.agg(F.max("between")).first()[0]
+        state = state.drop("between")
+        narrow = most is not None and most < last
+        last = most
     # Rows within the bracket are counted by value, those above it in one number.
-    inside = F.when(F.col("score") > F.col("high"), double("inf")).when(F.col("score") >= F.col("low"), F.col("score"))
-    values = rows.join(F.broadcast(sizes), "group").select("group", "n", "n_keep", inside.alias("v")).where("v is not null").groupBy("group", "n", "n_keep", "v").agg(F.count(F.lit(1)).alias("c"))
+    inside = F.when(c > F.col("high"), inf).when(c >= F.col("low"), c)
+    values = rows.join(few(state), "group").select("group", "n", "n_keep", inside.alias("v")).where("v is not null").groupBy("group", "n", "n_keep", "v").agg(F.count(F.lit(1)).alias("c"))
     down = Window.partitionBy("group").orderBy(F.desc("v"))
     reached = values.withColumn("above", F.sum("c").over(down)).where("above >= n_keep")
-    return reached.groupBy("group", "n", "n_keep").agg(F.max("v").alias("threshold"))
+    return _settled(reached.groupBy("group", "n", "n_keep").agg(F.max("v").alias("threshold")))
+
+
+def _settled(groups: DataFrame) -> DataFrame:
+    """A table of a row for each group, computed once where it has at most LOCAL_GROUPS rows."""
+    rows = groups.limit(LOCAL_GROUPS + 1).collect()
+    return groups if len(rows) > LOCAL_GROUPS else groups.sparkSession.createDataFrame(rows, groups.schema)
 
 
 def first_lines(rows: DataFrame, group: Column, quota: DataFrame, line: str) -> DataFrame:
-    """The first n_keep rows of each group by line: whole blocks of lines by their counts, and ranks within the one block that is cut."""
-    rows = rows.withColumns({"_g": group, "_b": F.floor(F.col(line) / BLOCK)})
-    blocks = rows.groupBy("_g", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    up = Window.partitionBy("_g").orderBy("_b")
-    before = blocks.withColumn("_before", F.sum("_c").over(up) - F.col("_c")).join(quota.select(F.col("group").alias("_g"), "n_keep"), "_g").where("_before < n_keep")
-    kept = rows.join(before, ["_g", "_b"])
-    whole = kept.where("_before + _c <= n_keep")
-    cut = kept.where("_before + _c > n_keep").withColumn("_rank", F.row_number().over(Window.partitionBy("_g", "_b").orderBy(line))).where("_before + _rank <= n_keep").drop("_rank")
-    return whole.unionByName(cut).drop("_g", "_b", "_c", "_before", "n_keep")
-
-
-def top_percent(table: DataFrame, score: str, percent: float, group: str | None = None, line: str = "line_idx", mode: str = "file_order") -> DataFrame:
+    """The first n_keep rows of each group by line: whole blocks of lines by their counts, and ranks within the one block that is cut.
+
+    Columns of rows may have any names.
+    """
+    g, b, c, before, keep, rank = unused(rows, "g", "b", "c", "before", "n_keep", "rank")
+    rows = rows.withColumns({g: group, b: F.floor(F.col(line) / BLOCK)})
+    blocks = rows.groupBy(g, b).agg(F.count(F.lit(1)).alias(c))
+    up = Window.partitionBy(g).orderBy(b)
+    first = blocks.withColumn(before, F.sum(c).over(up) - F.col(c)).join(quota.select(F.col("group").alias(g), F.col("n_keep").alias(keep)), g).where(F.col(before) < F.col(keep))
+    kept = rows.join(first, [g, b])
+    whole = kept.where(F.col(before) + F.col(c) <= F.col(keep))
+    cut = kept.where(F.col(before) + F.col(c) > F.col(keep)).withColumn(rank, F.row_number().over(Window.partitionBy(g, b).orderBy(line))).where(F.col(before) + F.col(rank) <= F.col(keep)).drop(rank)
+    return whole.unionByName(cut).drop(g, b, c, before, keep)
+
+
+def top_percent(table: DataFrame, score: str, percent: float, group: str | None = None, line: str = "line_idx", mode: str = "file_order", quota: DataFrame | None = None) -> DataFrame:
     """The best percent of each group (or of all rows): rows at or above the threshold, in line order until the quota is full.
 
     With ties at the threshold an early tied row can thus displace a better later one; mode="strict" takes
-    the highest scores instead, ties by line. Rows without score or group are left out; no rows give none.
+    the highest scores instead, ties by line. Rows without score or group are left out; no rows give none. Columns may
+    have any names. quota: the table that ``quotas`` gives for the same arguments, where it is known already.
     """
+    if mode not in ("file_order", "strict"):
+        raise ValueError("mode must be file_order or strict")
     rows = _ranked(table, score)
     rows = rows.where(F.col(group).isNotNull()) if group else rows
-    quota = quotas(table, score, percent, group).cache()
-    key = F.col(group) if group else F.lit("")
-    limits = F.broadcast(quota.select(F.col("group").alias("_q"), F.col("threshold").alias("_t")))
-    marked = rows.withColumn("_k", key).join(limits, F.col("_k") == F.col("_q"))
-    at_least = marked.where(F.col(score) >= F.col("_t")).drop("_q")
+    quota = quotas(table, score, percent, group) if quota is None else quota
+    k, q, t = unused(rows, "key", "of_quota", "threshold")
+    limits = quota.select(F.col("group").alias(q), F.col("threshold").alias(t))
+    if quota.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS:
+        limits = F.broadcast(limits)
+    marked = rows.withColumn(k, F.col(group) if group else F.lit("")).join(limits, F.col(k) == F.col(q)).drop(q)
+    at_least = marked.where(F.col(score) >= F.col(t))
     if mode == "file_order":
-        return first_lines(at_least.drop("_t"), F.col("_k"), quota, line).drop("_k")
-    if mode != "strict":
-        raise ValueError("mode must be file_order or strict")
-    above = at_least.where(F.col(score) > F.col("_t"))
-    taken = above.groupBy(F.col("_k").alias("group")).agg(F.count(F.lit(1)).alias("_a"))
-    rest = quota.join(taken, "group", "left").select("group", (F.col("n_keep") - F.coalesce("_a", F.lit(0))).alias("n_keep"))
-    ties = first_lines(at_least.where(F.col(score) == F.col("_t")), F.col("_k"), rest, line)
-    return above.unionByName(ties).drop("_k", "_t")
+        return first_lines(at_least.drop(t), F.col(k), quota, line).drop(k)
+    above = at_least.where(F.col(score) > F.col(t))
+    taken = above.groupBy(F.col(k).alias("group")).agg(F.count(F.lit(1)).alias("a"))
+    rest = quota.join(taken, "group", "left").select("group", (F.col("n_keep") - F.coalesce("a", F.lit(0))).alias("n_keep"))
+    ties = first_lines(at_least.where(F.col(score) == F.col(t)), F.col(k), rest, line)
+    return above.unionByName(ties).drop(k, t)
+
+
+def unfilled(chosen: DataFrame, quota: DataFrame, group: str | None = None) -> DataFrame:
+    """``group, n_keep, taken`` of the groups of which fewer rows were chosen than their quota."""
+    got = chosen.groupBy((F.col(group) if group else F.lit("")).alias("group")).agg(F.count(F.lit(1)).alias("taken"))
+    return quota.select("group", "n_keep").join(got, "group", "left").select("group", "n_keep", F.coalesce("taken", F.lit(0)).alias("taken")).where("taken < n_keep")

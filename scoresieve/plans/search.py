@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+import shlex
 import shutil
 import sqlite3
+import subprocess
 import time
 import warnings
 from collections.abc import Callable, Mapping, Sequence
@@ -21,8 +23,9 @@ from ..functions.weighting import good_trials, parameter_signature, parameters_o
 from ..operators.scoring import weighted
 from ..operators.selection import top_k, top_k_heap
 from ..operators.trials import SCHEMA, with_duration
-from ..sources.files import save_best_weights
+from ..sources.files import last_eval_loss, save_best_weights
 from ..sources.index import fetch
+from ..sources.pool import number_text, put, records, rewritten, write_manifest
 
 
 @dataclass
@@ -146,16 +149,19 @@ def select(index: DataFrame, weights: Mapping[str, float], k: int, exact_ties: b
     return (top_k_heap if exact_ties else top_k)(scored, "_weighted_score", k)
 
 
-def run(study: Study, index: DataFrame, objective: Callable[[DataFrame, Mapping[str, float]], float], n_trials: int, s: Settings, pool: DataFrame | None = None, out: str | None = None, keep: int = 1_000_000) -> Trial | None:
+def run(study: Study, index: DataFrame, objective: Callable[..., float], n_trials: int, s: Settings, pool: DataFrame | None = None, out: str | None = None, keep: int = 1_000_000, validation: str | None = None, cache: bool = False) -> Trial | None:
     """Run n_trials: queued weights first, then proposals; returns the best trial.
 
-    objective gets the selected records (of pool where given, else lines with scores) and the weights, and gives a loss.
-    A failing objective marks its trial FAIL and ends the search. The best weights are written after each trial.
-    The index is kept in memory between trials; each trial is one Spark job over the weighted columns.
+    objective gets the selected records (of pool where given, else lines with scores) and the weights, and gives a loss;
+    one with a true attribute ``wants_folder`` also gets the trial's folder. A failing objective marks its trial FAIL and
+    ends the search. With out each trial has a folder ``trials/trial_<number>`` whose ``data`` holds the selection as
+    train.jsonl, best first, and dataset_info.json, which names it and the validation file; best_weights.json
+    is written after each trial, and the folders of the oldest trials beyond keep are removed. The index is kept in memory
+    between trials, and with cache the pool too; each trial is one Spark job over the weighted columns.
     """
     gamma = s.gamma or partial(good_trials, share=s.gamma_share, most=s.gamma_most)
     names = [f"z_{k}" for k in s.keys]
-    index = index.persist()
+    held = [index.persist()] + ([pool.persist()] if cache and pool is not None else [])
     best, idle = None, 0
     try:
         for _ in range(n_trials):
@@ -171,11 +177,14 @@ def run(study: Study, index: DataFrame, objective: Callable[[DataFrame, Mapping[
             t.state, t.start = "RUNNING", time.time()
             t.weights = dict(zip(s.keys, weights_of([t.params[n] for n in names], s.method, s.span), strict=True))
             study.put(t)
-            chosen = select(index, t.weights, s.k, s.exact_ties)
-            if pool is not None:
-                chosen = fetch(pool, chosen).join(F.broadcast(chosen), "line_idx")  # k rows
             try:
-                t.value = float(objective(chosen, t.weights))
+                chosen = select(index, t.weights, s.k, s.exact_ties)
+                if pool is not None:
+                    chosen = fetch(pool, chosen).join(F.broadcast(chosen), "line_idx")  # k rows
+                folder = trial_folder(out, t.number) if out else None
+                if folder:
+                    write_selection(chosen, folder / "data", validation)
+                t.value = float(objective(chosen, t.weights, folder) if getattr(objective, "wants_folder", False) else objective(chosen, t.weights))
                 t.state = "COMPLETE"
             except Exception:
                 t.state = "FAIL"
@@ -194,7 +203,8 @@ def run(study: Study, index: DataFrame, objective: Callable[[DataFrame, Mapping[
             if s.patience and idle >= s.patience:
                 break
     finally:
-        index.unpersist()
+        for x in held:
+            x.unpersist()
     return study.best()
 
 
@@ -204,6 +214,77 @@ def trial_folder(out: str, number: int) -> Path:
     return path
 
 
+def write_selection(chosen: DataFrame, folder: Path, validation: str | None = None) -> Path:
+    """train.jsonl with the chosen records, best first, and the manifest beside it. The k records pass through the driver one by one.
+
+    A record is its line as read with ``_weighted_score`` added; without lines, its columns.
+    """
+    folder.mkdir(parents=True, exist_ok=True)
+    rows = chosen
+    if "raw" in chosen.columns:
+        fields = F.coalesce(put(F.col("fields"), {"_weighted_score": number_text(F.col("score"))}), F.col("fields"))
+        known = chosen.select("line_idx", "_weighted_score")
+        lines = records(chosen.select("line_idx", "raw")).join(F.broadcast(known.withColumnRenamed("_weighted_score", "score")), "line_idx")
+        rows = lines.select("line_idx", "score", rewritten(fields, F.col("raw")).alias("value"))
+    else:
+        rows = chosen.select("line_idx", F.col("_weighted_score").alias("score"), F.to_json(F.struct(*chosen.columns), {"ignoreNullFields": "false"}).alias("value"))
+    path = folder / "train.jsonl"
+    with path.open("w", encoding="utf-8") as file:
+        for r in rows.orderBy(F.desc("score"), "line_idx").select("value").toLocalIterator():
+            file.write(r["value"] + "\n")
+    write_manifest(str(folder), "train", "train.jsonl")
+    if validation:
+        write_manifest(str(folder), "validation", str(Path(validation).absolute()))
+    return path
+
+
+class CommandObjective:
+    """A training command as objective: run in a shell with {data}, {output} and {folder} filled in, it leaves a trainer_state.json below output.
+
+    The loss is the last eval_loss there. A command that fails is tried again, `retries` times; its output is
+    emptied before each try and appended to train.log in the trial's folder. Afterwards only the state files are kept, and the
+    training data goes unless keep_data.
+    """
+
+    wants_folder = True
+
+    def __init__(self, spark: SparkSession, command: str, retries: int = 2, keep_data: bool = False):
+        self.spark, self.command, self.retries, self.keep_data = spark, command, retries, keep_data
+
+    def __call__(self, chosen: DataFrame, weights: Mapping[str, float], folder: Path) -> float:
+        data, output = folder / "data", folder / "output"
+        line = self.command.format(data=shlex.quote(str(data)), output=shlex.quote(str(output)), folder=shlex.quote(str(folder)))
+        for left in range(self.retries, -1, -1):
+            shutil.rmtree(output, ignore_errors=True)
+            output.mkdir(parents=True)
+            with (folder / "train.log").open("a") as log:
+                code = subprocess.run(line, shell=True, stdout=log, stderr=subprocess.STDOUT, check=False).returncode
+            if not code:
+                break
+            if not left:
+                raise RuntimeError(f"the command failed with code {code}; see {folder / 'train.log'}")
+        found = sorted(output.rglob("trainer_state.json"), key=lambda p: p.stat().st_mtime)
+        loss = last_eval_loss(self.spark, str(found[-1])) if found else None
+        if loss is None:
+            raise RuntimeError(f"no eval_loss below {output}")
+        for path in sorted(output.rglob("*"), reverse=True):
+            if path.is_file() and path.name != "trainer_state.json":
+                path.unlink()
+            elif path.is_dir() and not any(path.iterdir()):
+                path.rmdir()
+        if not self.keep_data:
+            shutil.rmtree(data, ignore_errors=True)
+        return loss
+
+
+def command_objective(spark: SparkSession, config) -> CommandObjective:
+    """For ``search --objective scoresieve.plans.search:command_objective``: the command is the setting train_command."""
+    command = config.ignored.get("train_command")
+    if not command:
+        raise ValueError("set train_command in the configuration")
+    return CommandObjective(spark, str(command), int(config.ignored.get("train_retries", 2)))
+
+
 def clean(out: str, keep: int) -> int:
     """Remove the folders of the oldest trials beyond keep; returns how many."""
     found = sorted(Path(out, "trials").glob("trial_*")) if Path(out, "trials").is_dir() else []

@@ -150,3 +150,51 @@ def test_stream_of_scores(spark, tmp_path):
     query = start(scored_stream(stream, {"a": (0.0, 50.0)}, {"a": 1.0}, threshold=1.0), str(tmp_path / "out"), str(tmp_path / "check"))
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 50
+
+
+def test_run_writes_its_selections(spark, tmp_path):
+    """Each trial's folder holds the selected records as read, best first, and the manifest; a command gives the loss."""
+    import json
+
+    from scoresieve.plans import search
+    from scoresieve.sources import index, pool
+
+    src = tmp_path / "p.jsonl"
+    src.write_text("\n".join(json.dumps({"id": i, "text": f"é{i}", "meta": {"b": 1, "a": [i]}, "scores": {"a": float(i), "b": float(-i)}}, ensure_ascii=False) for i in range(30)))
+    rows = pool.read_pool(spark, str(src))
+    table = index.strict_vectors(rows, ["a", "b"])
+    (tmp_path / "state").write_text('{"log_history": [{"eval_loss": 3.5}, {"eval_loss": 1.25}]}')
+    train = search.CommandObjective(spark, f"wc -l < {{data}}/train.jsonl > {{folder}}/n && test -e {{folder}}/again && mkdir {{output}}/x && cp {tmp_path}/state {{output}}/trainer_state.json && touch {{output}}/x/model || (touch {{folder}}/again; false)", keep_data=True)
+    s = search.Settings(["a", "b"], 5, "linear", (0.0, 1.0), 3)
+    study = search.Study(":memory:", "t")
+    search.enqueue(study, [{"a": 1.0, "b": 0.0}], s)
+    best = search.run(study, table, train, 1, s, rows, str(tmp_path / "out"), validation="val.jsonl", cache=True)
+    folder = tmp_path / "out" / "trials" / "trial_00000"
+    got = [json.loads(x) for x in (folder / "data" / "train.jsonl").read_text().splitlines()]
+    assert best.value == 1.25 and [r["id"] for r in got] == [29, 28, 27, 26, 25] and (folder / "n").read_text().strip() == "5"
+    assert {k: v for k, v in got[0].items() if k != "_weighted_score"} == {"id": 29, "text": "é29", "meta": {"b": 1, "a": [29]}, "scores": {"a": 29.0, "b": -29.0}}
+    assert got[0]["_weighted_score"] > got[1]["_weighted_score"]
+    info = json.loads((folder / "data" / "dataset_info.json").read_text())
+    assert info["train"]["file_name"] == "train.jsonl" and info["validation"]["file_name"].endswith("val.jsonl")
+    assert sorted(p.name for p in (folder / "output").rglob("*")) == ["trainer_state.json"]
+
+
+def test_joint_density():
+    """Parameters that are good only together are found together."""
+    import numpy as np
+
+    from scoresieve.plans.tpe import Joint, suggest
+
+    rng = np.random.default_rng(0)
+    seen = rng.random((12, 2))
+    joint = Joint(seen, 0.0, 1.0)
+    grid = np.stack(np.meshgrid(*[np.linspace(0.005, 0.995, 100)] * 2), -1).reshape(-1, 2)
+    assert abs(np.exp(joint.log_density(grid)).mean() - 1) < 0.02
+    drawn = joint.draw(rng, 500)
+    assert drawn.shape == (500, 2) and (drawn >= 0).all() and (drawn <= 1).all()
+    history = []
+    for i in range(60):
+        a, b = rng.random(2)
+        history.append(({"a": float(a), "b": float(b)}, abs(a + b - 1) + 0.2 * abs(a - 0.2) * (a < 0.5) + 0.2 * abs(a - 0.8) * (a >= 0.5)))
+    points = [suggest(["a", "b"], history, 0.0, 1.0, np.random.default_rng(k), 5, lambda n: 12, 100, True) for k in range(20)]
+    assert np.mean([abs(p["a"] + p["b"] - 1) for p in points]) < 0.2

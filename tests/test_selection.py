@@ -64,6 +64,48 @@ def test_top_percent_rules(spark, seed, percent, block, small, monkeypatch):
     assert sorted(r["line_idx"] for r in selection.top_percent(t, "score", percent, "g", mode="strict").collect()) == sorted(strict)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_brackets_are_narrowed(spark, seed, monkeypatch):
+    """Thresholds of groups too large for one bracket."""
+    monkeypatch.setattr(selection, "SMALL_GROUP", 20)
+    monkeypatch.setattr(selection, "ACCURACY", 100)
+    rng = random.Random(seed)
+    scores = [rng.gauss(0, 1) if rng.random() < 0.7 else float(rng.randint(0, 3)) for _ in range(4000)]
+    groups = [rng.choice("aaaaab") for _ in scores]
+    got = {r["group"]: (r["n"], r["n_keep"], r["threshold"]) for r in selection.quotas(frame(spark, scores, groups), "score", 13, "g").collect()}
+    for g in "ab":
+        own = sorted((s for s, x in zip(scores, groups, strict=True) if x == g), reverse=True)
+        keep = max(1, math.ceil(len(own) * 0.13))
+        assert got[g] == (len(own), keep, own[keep - 1])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_percentiles_between_brackets(spark, seed, monkeypatch):
+    """Exact percentiles where values are too many for one task."""
+    import numpy as np
+
+    monkeypatch.setattr(normalize, "MOST_VALUES", 15)
+    monkeypatch.setattr(normalize, "ACCURACY", 100)
+    rng = random.Random(seed)
+    rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), rng.choice([None, float("nan"), rng.random()]), None) for _ in range(3000)]
+    t = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    for low, high in ((0, 100), (5, 95), (33.3, 33.4)):
+        got = {r["key"]: (r["lb"], r["ub"], r["n"]) for r in normalize.bounds(t, ["a", "b", "c", "d"], low, high).collect()}
+        for i, key in enumerate("abc"):
+            own = np.array([r[i] for r in rows if r[i] is not None and r[i] == r[i]])
+            assert np.allclose(got[key][:2], np.percentile(own, [low, high]), atol=1e-12) and got[key][2] == len(own)
+        assert "d" not in got
+
+
+def test_columns_of_any_name(spark):
+    t = frame(spark, [float(i % 7) for i in range(50)], ["a"] * 50).withColumns({x: F.lit(1) for x in ("_t", "_k", "_q", "_g", "_b", "_c", "key", "threshold", "group", "n_keep", "b", "c", "before", "rank")})
+    for mode in ("file_order", "strict"):
+        got = selection.top_percent(t, "score", 20, "g", mode=mode)
+        assert got.columns == t.columns and got.count() == 10
+    quota = selection.quotas(t, "score", 20, "g")
+    assert selection.unfilled(selection.top_percent(t, "score", 20, "g").limit(4), quota, "g").collect()[0]["taken"] == 4
+
+
 def test_quota_is_a_binary_product(spark):
     q = selection.quotas(frame(spark, [float(i) for i in range(100)]), "score", 7).first()
     assert (q["n_keep"], q["threshold"]) == (8, 92.0)

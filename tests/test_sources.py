@@ -142,6 +142,126 @@ def test_texts(spark):
     assert [r["vector"] for r in out.collect()] == [[1.0, 1.0], [0.0, 1.0], [5.0, 1.0]]
 
 
+RECORDS = [
+    {"id": 7, "instruction": "é \\ \"q\"", "input": "", "output": None, "lang": "en", "meta": {"z": [1, 2.5, {"b": "x"}], "a": True, "é": []}, "scores": {"b": 3, "a": 1.5, "note": "4", "bad": None, "flag": True, "deep": {"k": [1]}}},
+    {"scores": {"a": 3.5, "b": 8, "extra": 1e-7}, "id": "x-1", "cluster_id": 99, "final_score": "old", "n": 12345678901234567890123},
+    {},
+    {"id": 2.5, "scores": {}},
+    {"id": 3, "scores": [1, 2], "tags": ["a", "b"]},
+    {"id": 4, "scores": None, "x": "5"},
+]
+
+
+@pytest.fixture
+def records(tmp_path):
+    lines = [json.dumps(r, ensure_ascii=False) for r in RECORDS]
+    file = tmp_path / "r.jsonl"
+    file.write_text("\n".join([*lines[:2], "", "{broken", '{"a": 1} {"b": 2}', '{"id": 9, "scores": {"a": NaN, "b": 5}, "w": Infinity}', *lines[2:]]))
+    return file
+
+
+def _lines(spark, path):
+    return [r["raw"] for r in pool.read_lines(spark, str(path)).orderBy("line_idx").collect()]
+
+
+def _loads(line):
+    try:
+        return json.loads(line)
+    except json.JSONDecodeError:
+        return line
+
+
+def test_records_keep_all_but_their_scores(spark, records, tmp_path):
+    """normalize, layers, final-score, assign and sample change what they are asked to and nothing else."""
+    run = lambda *a: cli.main([str(x) for x in a])
+    before = [_loads(x) for x in _lines(spark, records)]
+    run("normalize", "-i", records, "-o", tmp_path / "n", "--pct-range", 0, 100, "--keep-original", "--flip-keys", "b")
+    got = [_loads(x) for x in _lines(spark, tmp_path / "n")]
+    assert len(got) == len(before) and got[2:5] == before[2:5] == ["", "{broken", '{"a": 1} {"b": 2}']
+    assert got[0] == before[0] | {"scores": {"b_orig": 3, "b": 1.0, "a_orig": 1.5, "a": 0.0, "note": "4", "bad": None, "flag": True, "deep": {"k": [1]}}}
+    assert list(got[0]) == list(before[0]) and list(got[0]["scores"]) == ["b_orig", "b", "a_orig", "a", "note", "bad", "flag", "deep"] and isinstance(got[0]["scores"]["b_orig"], int)
+    assert got[1] == before[1] | {"scores": {"a_orig": 3.5, "a": 1.0, "b_orig": 8, "b": 0.0, "extra_orig": 1e-7, "extra": 0.0}}
+    assert np.isnan(got[5]["scores"]["a"]) and got[5]["w"] == float("inf") and got[5]["scores"]["b"] == 0.6
+    assert got[6:] == before[6:] == RECORDS[2:]
+
+    (tmp_path / "w" / "Layer1_c1").mkdir(parents=True)
+    weights = tmp_path / "w" / "Layer1_c1" / "best_weights.json"
+    weights.write_text('{"best_weights": {"b": 2.0, "a": 1.0, "gone": 5.0}}')
+    run("layers", "-i", records, "-w", tmp_path / "w", "-o", tmp_path / "l")
+    got = [_loads(x) for x in _lines(spark, tmp_path / "l")]
+    kept = [r for r in before if isinstance(r, dict)]
+    sums = [7.5, 19.5, None, 0.0, 0.0, 0.0, 0.0]
+    assert len(got) == len(kept) == 7
+    for new, old, total in zip(got, kept, sums, strict=True):
+        scores = new.pop("scores")
+        assert new == {k: v for k, v in old.items() if k != "scores"}
+        if total is not None:
+            assert scores == (old.get("scores") if isinstance(old.get("scores"), dict) else {}) | {"Layer1_c1_orig": total, "Layer1_c1": total / 19.5}
+
+    run("final-score", "-i", records, "-w", weights, "-o", tmp_path / "f")
+    got = [_loads(x) for x in _lines(spark, tmp_path / "f")]
+    assert got[2:4] == ["{broken", '{"a": 1} {"b": 2}'] and len(got) == 9
+    assert got[0] == before[0] | {"final_score": 7.5} and got[1] == before[1] | {"final_score": 19.5} and list(got[1]) == list(before[1])
+    assert np.isnan(got[4]["scores"]["a"]) and np.isnan(got[4]["final_score"]) and got[4]["w"] == float("inf")
+    assert got[5:] == [{}, RECORDS[3] | {"final_score": 0.0}, RECORDS[4], RECORDS[5]]
+
+    (tmp_path / "d").mkdir()
+    (tmp_path / "d" / "p.jsonl").write_text(records.read_text())
+    labels = [3, 1, 4, 1, 5, 9, 2, 6, 5, 3]
+    np.save(tmp_path / "y.npy", np.array(labels, np.int32))
+    run("assign", "--input_jsonl", tmp_path / "d", "--labels_path", tmp_path / "y.npy")  # in place
+    got = [_loads(x) for x in _lines(spark, tmp_path / "d")]
+    assert [r["cluster_id"] for r in got] == [3, 1, 9, 2, 6, 5, 3]
+    assert got[:2] == [before[0] | {"cluster_id": 3}, before[1] | {"cluster_id": 1}] and got[3] == {"cluster_id": 2} and not list(tmp_path.glob("d.*"))
+    run("final-score", "-i", tmp_path / "d", "-w", weights)
+    run("sample", "-i", tmp_path / "d", "-o", tmp_path / "s", "-k", 100, "--per_cluster")
+    assert [r["id"] for r in map(_loads, _lines(spark, tmp_path / "s"))] == [7, "x-1", 2.5]
+
+
+def test_sampling_by_other_ids(spark, tmp_path, capsys):
+    """Ids may be text, numbers or both; groups that stay below their quota are told."""
+    rows = [{"cluster_id": c, "final_score": s, "i": i} for i, (c, s) in enumerate([("a", 1), ("a", 2), ("1", 5), (1, 6), (1, 7.5), (None, 9), ("a", None), (1, "8"), ("a", 2)])]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, rows)))
+    cli.main(["sample", "-i", str(tmp_path / "p.jsonl"), "-o", str(tmp_path / "s"), "-k", "50", "--per_cluster"])
+    got = sorted(json.loads(x)["i"] for x in _lines(spark, tmp_path / "s"))
+    assert got == [1, 2, 4, 7, 8] or got == [1, 2, 4, 8] or got == [1, 2, 7, 4, 8]
+    assert "n_keep" in capsys.readouterr().out
+
+
+def test_mini_batches(spark):
+    rng = np.random.default_rng(0)
+    centre = rng.normal(0, 20, (4, 5))
+    x = np.concatenate([c + rng.normal(0, 0.5, (60, 5)) for c in centre])
+    order = rng.permutation(len(x))
+    data = spark.createDataFrame([(i, [float(v) for v in x[j]]) for i, j in enumerate(order)] + [(999, None)], "line_idx long, vector array<double>")
+    labels, centroids = vectors.mini_batches(data, 4, batch=64, epochs=4)
+    got = {r["line_idx"]: r["cluster_id"] for r in labels.collect()}
+    assert got[999] is None and all(len({got[i] for i, j in enumerate(order) if j // 60 == k}) == 1 for k in range(4)) and len(set(got.values())) == 5
+    found = np.array([r["centroid"] for r in centroids.collect()])
+    assert all(np.abs(found - c).sum(1).min() < 1 for c in centre)
+    empty, none = vectors.mini_batches(data.limit(0), 3)
+    assert empty.count() == 0 and none.count() == 0
+
+
+def test_nearest_breaks_ties_by_id(spark):
+    data = spark.createDataFrame([(0, [0.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [9.0, 9.0])], "line_idx long, vector array<double>")
+    centres = spark.createDataFrame([(5, [1.0, 0.0]), (2, [-1.0, 0.0]), (9, [0.0, 1.0])], "cluster_id int, centroid array<double>")
+    assert [r["cluster_id"] for r in vectors.nearest(data, centres).orderBy("line_idx").collect()] == [2, 5, None, 5]
+
+
+def test_merged_scores(spark):
+    """Several outputs of a metric for one id, with the settings that Spark has by itself."""
+    before = spark.conf.get("spark.sql.mapKeyDedupPolicy")
+    spark.conf.set("spark.sql.mapKeyDedupPolicy", "EXCEPTION")
+    try:
+        records = spark.createDataFrame([(1, {"old": 1.0, "m": 0.0}), (2, None)], "id long, scores map<string,double>")
+        outputs = spark.createDataFrame([(1, "m", 5.0, 1), (1, "m", 3.0, 2), (1, None, 3.0, 2), (1, "k", None, 2), (3, "m", 1.0, 1)], "id long, metric string, score double, at int")
+        get = lambda **o: {r["id"]: r["scores"] for r in vectors.merge_scores(records, outputs, **o).collect()}
+        assert get() == {1: {"old": 1.0, "m": 5.0}, 2: {}} and get(order="at") == {1: {"old": 1.0, "m": 3.0}, 2: {}}
+    finally:
+        spark.conf.set("spark.sql.mapKeyDedupPolicy", before)
+
+
 def test_labels_must_match(spark):
     rows = spark.range(3).withColumnRenamed("id", "line_idx")
     with pytest.raises(ValueError, match="3 records, but 2 labels"):
