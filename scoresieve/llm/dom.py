@@ -21,6 +21,8 @@ MATH = frozenset(
 #: annotation: a formula's source, which browsers do not show beside the formula.
 HIDDEN = RAW | {"head", "select", "option", "datalist", "audio", "video", "annotation", "annotation-xml"}
 CLOSES_P = BLOCKS - {"button", "option", "select", "body", "html", "legend", "caption", "tbody", "td", "tfoot", "th", "thead", "tr", "dd", "dt", "li"} | {"hr"}
+#: Elements beyond which no open paragraph is ended.
+AROUND_P = ("td", "th", "li", "div", "article", "section", "main", "body", "table", "button")
 #: An open element that a start tag ends, and what it does not look beyond.
 ENDS = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}),
@@ -59,6 +61,18 @@ class Node:
 def parsed(source: str) -> Node:
     """The tree of a page. Unclosed and stray tags are mended as browsers mostly do; an unfinished tag at the end is left out."""
     root = node = Node("#root", "", None)
+    stack: list[Node] = []  # open elements, and where each tag is open in it, so that no tag costs a walk over all of them
+    where: dict[str, list[int]] = {}
+
+    def last(tags) -> int:
+        return max((where[t][-1] for t in tags if where.get(t)), default=-1)
+
+    def close(at: int) -> Node:
+        """End all open elements from place `at` on."""
+        while len(stack) > at:
+            where[stack.pop().tag].pop()
+        return stack[-1] if stack else root
+
     at, n = 0, len(source)
     match = _TOKEN.match
     while at < n:
@@ -74,30 +88,23 @@ def parsed(source: str) -> Node:
             break
         tag = tag.lower()
         if m[1]:
-            up = node
-            while up is not root and up.tag != tag:
-                up = up.parent
-            if up is not root:
-                node = up.parent
+            if where.get(tag):
+                node = close(where[tag][-1])
             continue
         if tag in CLOSES_P or tag == "p":
-            up = node
-            while up is not root and up.tag not in ("p", "td", "th", "li", "div", "article", "section", "main", "body", "table", "button"):
-                up = up.parent
-            if up.tag == "p":
-                node = up.parent
+            own = last(("p",))
+            if own > last(AROUND_P):
+                node = close(own)
         if tag in ENDS:
             ends, stops = ENDS[tag]
-            up = node
-            while up is not root and up.tag not in ends and up.tag not in stops:
-                up = up.parent
-            if up.tag in ends:
-                node = up.parent
+            own = last(ends)
+            if own > last(stops):
+                node = close(own)
         elif tag == "body" or tag == "html":
-            if node.tag != "#root" and tag == "html":
+            if node is not root and tag == "html":
                 continue
             while node.tag == "head":
-                node = node.parent
+                node = close(len(stack) - 1)
         child = Node(tag, m[3], node)
         node.items.append(child)
         if tag in VOID or tag in MATH and m[3].endswith("/"):
@@ -109,6 +116,8 @@ def parsed(source: str) -> Node:
             at = end.end() if end else n
             continue
         node = child
+        where.setdefault(tag, []).append(len(stack))
+        stack.append(node)
     return root
 
 

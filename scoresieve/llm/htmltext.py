@@ -6,6 +6,7 @@ import functools
 import math
 import random
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from .dom import BLOCKS, MATH, Node, parsed, visible
 from .trees import Boosted, boosted
 
 #: Pages that the model is trained on; they are generated, as no page comes with labels.
-TRAIN_PAGES = 700
+TRAIN_PAGES, TRAIN_FRAGMENTS = 1000, 100
 #: Log odds that content loses by turning to boilerplate within itself, and that a node loses by deciding nothing for its subtree.
 TURN, OPEN = 4.0, 0.6
 #: Margins count up to here; and a node that looks like content pays this share of its margin for being left open.
@@ -25,7 +26,9 @@ SURE, LEAN = 4.0, 0.5
 
 TAGS = "body main article section div p h1 h2 h3 h4 ul ol li dl table tr td blockquote pre figure figcaption header footer nav aside form button label address span a details".split()
 INSIDE = "article main nav header footer aside form".split()
-_PARTS = re.compile(r"[A-Za-z][a-z]+|[A-Z]+(?![a-z])|[a-z]+")
+_TAG_PLACE = {tag: i for i, tag in enumerate(TAGS)}
+_CAMEL = re.compile(r"([a-z])([A-Z])")
+_PARTS = re.compile(r"[^\W\d_]+")
 
 # Names that pages give to their parts; the generator draws from them, and the model learns which say what.
 CONTENT_NAMES = "content article post entry story body text main page single hentry prose copy blog news markdown document chapter".split()
@@ -40,10 +43,12 @@ BOILERPLATE_NAMES = {
     "comments": "comment comments commentlist respond reply replies discussion disqus reviews thread".split(),
     "share": "share social sharing twitter facebook follow tags categories meta author byline rating".split(),
 }
-_KNOWN = sorted({*CONTENT_NAMES, *(x for xs in BOILERPLATE_NAMES.values() for x in xs), "wrapper", "container", "row", "col", "inner", "outer", "layout", "grid", "lead", "intro", "title", "item", "list", "block", "box"})
-_PLACE = {name: i for i, name in enumerate(_KNOWN)}
+#: Hash range of the tokens of class, id, role and the like.
+TOKENS = 1 << 20
 _NUMBERS = 30
-WIDTH = _NUMBERS + len(TAGS) + len(INSIDE) + 2 * len(_KNOWN)
+PLAIN = _NUMBERS + len(TAGS) + len(INSIDE)
+#: Parts whose features are laid out at once; a page may have any number.
+PARTS_AT_ONCE = 20_000
 
 
 @dataclass
@@ -67,19 +72,20 @@ class Part:
 
 
 def _names(node: Node) -> set[int]:
+    """Hashes of the words in the attributes that name an element."""
     if not node.attrs:
         return set()
     a = node.named()
     said = " ".join((a.get("class", ""), a.get("id", ""), a.get("role", ""), a.get("aria-label", ""), a.get("itemprop", "")))
-    return {_PLACE[x] for m in _PARTS.finditer(said) if (x := m[0].lower()) in _PLACE}
+    return {zlib.crc32(m[0].lower().encode("utf-8", "surrogatepass")) % TOKENS for m in _PARTS.finditer(_CAMEL.sub(r"\1 \2", said))}
 
 
 def parts_of(root: Node) -> list[Part]:
-    """The decided nodes in page order, with sums over their subtrees."""
-    parts: list[Part] = []
+    """The decided nodes in page order, the page itself first, with sums over their subtrees."""
+    parts = [Part(root, -1)]
     seen = 0
     # (node, index of the part around it, in a link?, items left)
-    stack = [(root, -1, False, iter(root.items))]
+    stack = [(root, 0, False, iter(root.items))]
     while stack:
         node, part, link, items = stack[-1]
         for item in items:
@@ -91,13 +97,12 @@ def parts_of(root: Node) -> list[Part]:
                 if item.tag in BLOCKS or (item.attrs and not formula and item.tag not in ("a", "br", "img", "input", "wbr") and item.tag.isalpha()):
                     parts.append(Part(item, part, begin=seen))
                     own = len(parts) - 1
-                if own >= 0:
-                    parts[own].tags += not formula
-                    parts[own].paragraphs += item.tag == "p"
-                    parts[own].controls += item.tag in ("input", "button", "select", "textarea", "label")
+                parts[own].tags += not formula
+                parts[own].paragraphs += item.tag == "p"
+                parts[own].controls += item.tag in ("input", "button", "select", "textarea", "label")
                 stack.append((item, own, link or item.tag == "a", iter(item.items)))
                 break
-            elif part >= 0:
+            else:
                 p, text = parts[part], item.strip()
                 if text:
                     n = len(text)
@@ -119,16 +124,34 @@ def parts_of(root: Node) -> list[Part]:
     return parts
 
 
-def features(parts: list[Part]) -> np.ndarray:
-    x = np.zeros((len(parts), WIDTH), np.float32)
-    if not parts:
+@dataclass
+class Features:
+    """Of all parts of a page: plain numbers, and the hashed tokens of each part and of those around it."""
+
+    plain: np.ndarray
+    own: list[set[int]]
+    around: list[frozenset[int]]
+
+    def laid_out(self, tokens: dict[int, int], at: int = 0, to: int | None = None) -> np.ndarray:
+        """Rows at:to with a column for each known token (of the part, then of those around it) after the plain ones."""
+        plain = self.plain[at:to]
+        x = np.zeros((len(plain), PLAIN + 2 * len(tokens)), np.float32)
+        x[:, :PLAIN] = plain
+        for i in range(len(plain)):
+            for shift, names in ((0, self.own[at + i]), (len(tokens), self.around[at + i])):
+                for k in names:
+                    if k in tokens:
+                        x[i, PLAIN + shift + tokens[k]] = 1
         return x
+
+
+def features(parts: list[Part]) -> Features:
+    x = np.zeros((len(parts), PLAIN), np.float32)
     kids: dict[int, list[int]] = {}
     for i, p in enumerate(parts):
         kids.setdefault(p.parent, []).append(i)
-    total = max(1, sum(parts[i].chars for i in kids[-1]))
-    names = [None] * len(parts)
-    tag_at, in_at, own_at, up_at = _NUMBERS, _NUMBERS + len(TAGS), _NUMBERS + len(TAGS) + len(INSIDE), _NUMBERS + len(TAGS) + len(INSIDE) + len(_KNOWN)
+    total = max(1, parts[0].chars)
+    tag_at, in_at = _NUMBERS, _NUMBERS + len(TAGS)
     chars = np.array([p.chars for p in parts], float)
     tags = np.array([p.tags for p in parts], float)
     linked = np.array([p.linked for p in parts], float)
@@ -145,41 +168,41 @@ def features(parts: list[Part]) -> np.ndarray:
     x[:, 12], x[:, 13], x[:, 14] = np.log1p(density)[up], link[up], np.log1p(chars)[up]
     x[:, 15], x[:, 16], x[:, 17] = chars / (chars[up] + 1), [p.own / (p.chars + 1) for p in parts], np.log1p(tags)
     x[:, 18], x[:, 19] = chars / (paragraphs + 1), chars / (words + 1)
-    for around, own in kids.items():
-        own = np.array(own)
+    for siblings in kids.values():
+        own = np.array(siblings)
         n = len(own)
         x[own, 20], x[own, 21] = np.arange(n) / max(1, n - 1), math.log1p(n)
         x[own, 22], x[own, 23] = np.log1p(chars[own].mean()), link[own].mean()
         same: dict[str, int] = {}
-        for i in own:
+        for i in siblings:
             same[parts[i].node.tag] = same.get(parts[i].node.tag, 0) + 1
-        x[own, 24] = [same[parts[i].node.tag] for i in own]
+        x[own, 24] = [same[parts[i].node.tag] for i in siblings]
         x[own[1:], 25], x[own[1:], 26] = np.log1p(chars[own[:-1]]), link[own[:-1]]
         x[own[:-1], 27], x[own[:-1], 28] = np.log1p(chars[own[1:]]), link[own[1:]]
         x[own, 29] = paragraphs[own].sum() / n
+    names: list[set[int]] = []
+    around: list[frozenset[int]] = []
     for i, p in enumerate(parts):
-        tag = p.node.tag
-        if tag in TAGS:
-            x[i, tag_at + TAGS.index(tag)] = 1
-        names[i] = _names(p.node)
-        for k in names[i]:
-            x[i, own_at + k] = 1
-        if p.parent >= 0:
-            x[i, up_at:] = x[p.parent, up_at:]
-            x[i, in_at : in_at + len(INSIDE)] = x[p.parent, in_at : in_at + len(INSIDE)]
-            for k in names[p.parent]:
-                x[i, up_at + k] = 1
-            above = parts[p.parent].node.tag
-            if above in INSIDE:
-                x[i, in_at + INSIDE.index(above)] = 1
-    return x
-
-
-def decoded(parts: list[Part], margins: np.ndarray) -> np.ndarray:
-    """For each part whether its own text is kept, by the best consistent labelling of the tree.
+        if p.node.tag in _TAG_PLACE:
+            x[i, tag_at + _TAG_PLACE[p.node.tag]] = 1
+        names.append(_names(p.node))
+        if p.parent < 0:
+            around.append(frozenset())
+            continue
+        x[i, in_at:PLAIN] = x[p.parent, in_at:PLAIN]
+        above = parts[p.parent].node.tag
+        if above in INSIDE:
+            x[i, in_at + INSIDE.index(above)] = 1
+        # (Parts share the set of those around them wherever it does not grow.)
+        around.append(around[p.parent] | names[p.parent] if not names[p.parent] <= around[p.parent] else around[p.parent])
+    return Features(x, names, around)
+
+
+def states(parts: list[Part], margins: np.ndarray) -> np.ndarray:
+    """For each part 0 (open), 1 (content) or 2 (boilerplate): the best consistent labelling of the tree.
 
     A node is content, boilerplate or open. Below boilerplate all is boilerplate; below content all is content unless a
-    subtree turns, at a price; below open nodes anything goes.
+    subtree turns, at a price; below open nodes anything goes. The page itself (the first part) is open.
     """
     n = len(parts)
     margins = np.clip(margins, -SURE, SURE)
@@ -197,17 +220,24 @@ def decoded(parts: list[Part], margins: np.ndarray) -> np.ndarray:
             content[up] += max(content[i], boiler[i] - TURN)
             boiler[up] += boiler[i]
             undecided[up] += max(content[i], boiler[i], undecided[i])
-    keep, state = np.zeros(n, bool), np.zeros(n, np.int8)  # 0 open, 1 content, 2 boilerplate
+    state = np.zeros(n, np.int8)
     for i, p in enumerate(parts):
         above = state[p.parent] if p.parent >= 0 else 0
-        if above == 2:
+        if p.parent < 0:
+            state[i] = 0
+        elif above == 2:
             state[i] = 2
         elif above == 1:
             state[i] = 1 if content[i] >= boiler[i] - TURN else 2
         else:
             state[i] = (0, 1, 2)[int(np.argmax([undecided[i], content[i], boiler[i]]))]
-        keep[i] = state[i] == 1 or (state[i] == 0 and margins[i] > 0)
-    return keep
+    return state
+
+
+def decoded(parts: list[Part], margins: np.ndarray) -> np.ndarray:
+    """For each part whether its own text is kept: that of content, and of open parts that look like content by themselves."""
+    state = states(parts, margins)
+    return (state == 1) | ((state == 0) & (margins > 0))
 
 
 def blocks(root: Node, keep: dict[int, bool]) -> list[str]:
@@ -221,7 +251,7 @@ def blocks(root: Node, keep: dict[int, bool]) -> list[str]:
             out.append(text)
         run.clear()
 
-    stack = [(root, False, iter(root.items), False)]
+    stack = [(root, keep.get(id(root), False), iter(root.items), False)]
     while stack:
         node, kept, items, block = stack[-1]
         for item in items:
@@ -366,9 +396,18 @@ class _Maker:
         body = "".join(self.boilerplate(k) for k in before) + self.content() + "".join(self.boilerplate(k) for k in after)
         return f"<!DOCTYPE html><html><head><title>x</title></head><body>{body}</body></html>"
 
+    def fragment(self) -> str:
+        """Bare text with inline markup, and perhaps paragraphs, in the body or with no page around it."""
+        rng = self.rng
+        bare = self.text(1, 4) + rng.choice(["", f" <b>{rng.choice(self.words)}</b> ", f"<br>{self.text(1, 2)}"]) + self.text(1, 2)
+        many = "".join(f"<p>{self.text(1, 6)}</p>" for _ in range(rng.randint(0, 4)))
+        some = "".join(self.boilerplate(k) for k in rng.sample(["menu", "footer", "ad", "form", "share"], rng.randint(0, 2)))
+        text = f"\x01{bare}{many}\x02{some}" if rng.random() < 0.6 else f"{some}\x01{many}<p>{bare}</p>\x02"
+        return f"<html><body>{text}</body></html>" if rng.random() < 0.5 else text
+
 
-def _labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a generated page's pure parts, and whether they are content."""
+def _labelled(source: str) -> tuple[Features, np.ndarray, np.ndarray]:
+    """Features of a generated page's parts, which of them are pure, and whether they are content."""
     root = parsed(source)
     inside = False
     own: dict[int, list[int]] = {}
@@ -391,7 +430,7 @@ def _labelled(source: str) -> tuple[np.ndarray, np.ndarray]:
     seen = [own.get(id(p.node), [0, 0]) for p in parts]
     pure = np.array([(a == 0) != (b == 0) for a, b in seen], bool)
     truth = np.array([b > 0 for _, b in seen])
-    return features(parts)[pure], truth[pure]
+    return features(parts), pure, truth
 
 
 def _unmarked(root: Node) -> Node:
@@ -403,35 +442,60 @@ def _unmarked(root: Node) -> Node:
     return root
 
 
+@dataclass
+class Model:
+    trees: Boosted
+    tokens: dict[int, int]  # column of each hashed token that the training pages use
+
+    def margins(self, pages: list[Features]) -> np.ndarray:
+        """Of all parts of all pages, one after the other; laid out for a bounded number of parts at a time."""
+        out, some, n = [], [], 0
+        for page in pages:
+            for at in range(0, len(page.plain), PARTS_AT_ONCE):
+                some.append(page.laid_out(self.tokens, at, at + PARTS_AT_ONCE))
+                n += len(some[-1])
+                if n >= PARTS_AT_ONCE:
+                    out.append(self.trees.margins(np.concatenate(some)))
+                    some, n = [], 0
+        if some:
+            out.append(self.trees.margins(np.concatenate(some)))
+        return np.concatenate(out) if out else np.zeros(0)
+
+
 @functools.cache
-def trained(pages: int = TRAIN_PAGES) -> Boosted:
-    found = [_labelled(_Maker(seed).page()) for seed in range(pages)]
-    return boosted(np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found]).astype(float))
+def trained(pages: int = TRAIN_PAGES, fragments: int = TRAIN_FRAGMENTS) -> Model:
+    found = [_labelled(_Maker(seed).page()) for seed in range(pages)] + [_labelled(_Maker(seed).fragment()) for seed in range(10_000, 10_000 + fragments)]
+    seen = sorted({k for f, _, _ in found for names in f.own for k in names})
+    tokens = {k: i for i, k in enumerate(seen)}
+    x = np.concatenate([f.laid_out(tokens)[pure] for f, pure, _ in found])
+    return Model(boosted(x, np.concatenate([truth[pure] for _, pure, truth in found]).astype(float)), tokens)
 
 
-def main_text(source: str, model: Boosted) -> str:
+def main_text(source: str, model: Model) -> str:
     return main_texts([source], model)[0]
 
 
-def main_texts(sources: list[str], model: Boosted) -> list[str]:
+def main_texts(sources: list[str], model: Model) -> list[str]:
     pages = [(root := parsed(s), parts_of(root)) for s in sources]
-    sizes = [len(parts) for _, parts in pages]
-    x = np.concatenate([features(parts) for _, parts in pages]) if pages else np.zeros((0, WIDTH))
-    margins = model.margins(x)
+    margins = model.margins([features(parts) for _, parts in pages])
     out, at = [], 0
-    for (root, parts), n in zip(pages, sizes, strict=True):
+    for root, parts in pages:
+        n = len(parts)
         keep = decoded(parts, margins[at : at + n])
         at += n
         out.append("\n\n".join(blocks(root, {id(p.node): bool(k) for p, k in zip(parts, keep, strict=True)})))
     return out
 
 
-def extracted(html: Column, model: Boosted | None = None) -> Column:
+def extracted(html: Column, model: Model | None = None) -> Column:
     """The main text of each whole page: kept blocks in page order, joined by an empty line.
 
     Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments go. Character
     references are decoded, white space within a block becomes one space. Null and empty pages, and pages with no
-    content, give the empty string. The text of MathML stays in its block, without annotations (the formula's source).
+    content, give the empty string. Text outside all elements counts as the page's own. The text of MathML stays in its
+    block, without annotations (the formula's source). Each row is a page of its own, so repeated rows give the same text
+    and an empty table none; a tie between labels goes to open, then content. A very long page is laid out
+    in pieces of PARTS_AT_ONCE parts, and no tag costs a walk over the open elements. No columns are added or named.
     """
     model = model or trained()
 
