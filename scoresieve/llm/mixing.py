@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import stored
+from .scratch import stored, unused
 
-#: Rows of the table of rates that may be broadcast.
-BROADCAST_SOURCES = 50_000
+#: Bytes of the table of rates that may be broadcast (names of sources, and 24 bytes each).
+BROADCAST_BYTES = 8 << 20
+#: Copies of a document that one task makes; those of a document with more are made in several.
+BLOCK = 256
 SEED = "mix-1"
 
 
@@ -36,13 +40,31 @@ def rates(docs: DataFrame, targets: dict[str, float] | None = None, temperature:
     return weighed.select("source", "size", share.alias("target"), (share * F.lit(float(volume) * everything) / F.col("size")).alias("rate"))
 
 
-def _cumulative(rate: Column) -> Column:
-    """The distribution function of a Poisson variable at 0, 1, ... until what is left is below any 48-bit number."""
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 20).cast("int")
-    start = F.struct((-rate).alias("log_p"), F.array(F.exp(-rate)).alias("cdf"))
-    step = lambda acc, k: F.struct((acc["log_p"] + F.ln(rate) - F.ln(k)).alias("log_p"), F.concat(acc["cdf"], F.array(F.element_at(acc["cdf"], -1) + F.exp(acc["log_p"] + F.ln(rate) - F.ln(k)))).alias("cdf"))
-    grown = F.aggregate(F.sequence(F.lit(1), last), start, lambda acc, k: step(acc, k.cast("double")))["cdf"]
-    return F.when(rate > 0, grown).otherwise(F.array(F.lit(1.0)))
+def _distribution(rate: float) -> tuple[int, np.ndarray]:
+    """The distribution function of a Poisson variable from a first value on, below which there is next to nothing, until next to nothing is left."""
+    last = int(np.ceil(rate + 12 * np.sqrt(rate) + 20))
+    if rate <= 500:
+        return 0, np.cumsum(np.cumprod(np.r_[np.exp(-rate), rate / np.arange(1, last + 1)]))
+    # exp(-rate) would vanish: ratios to the likeliest value both ways, then scaled to a sum of 1.
+    first, top = max(0, int(rate - 12 * np.sqrt(rate) - 20)), int(rate)
+    down = np.cumprod(np.arange(top, first, -1) / rate)[::-1]
+    up = np.cumprod(rate / np.arange(top + 1, last + 1))
+    p = np.r_[down, 1.0, up]
+    return first, np.cumsum(p / p.sum())
+
+
+def counts_of(u: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """For each number u in [0, 1) the value at which the distribution function with that mean exceeds it; the work grows with the root of a rate."""
+    out = np.zeros(len(u), np.int64)
+    for rate in np.unique(rates[rates > 0]):
+        own = np.flatnonzero(rates == rate)
+        first, cdf = _distribution(float(rate))
+        out[own] = first + np.searchsorted(cdf, u[own], "right")
+    return out
+
+
+def _counted(u: pa.Array, rates: pa.Array) -> pa.Array:
+    return pa.array(counts_of(u.to_numpy(zero_copy_only=False), rates.to_numpy(zero_copy_only=False)), pa.int64())
 
 
 def mixed(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
@@ -51,23 +73,32 @@ def mixed(docs: DataFrame, seed: str = SEED, id_col: str = "doc_id", source_col:
     A document occurs as often as the Poisson variable with its source's rate whose distribution function is
     inverted at a number hashed from seed and id, so counts are the same however the job is cut or repeated.
     Adds ``copy_no`` (from 1) and ``order_key`` (hashed from seed, id and copy); partitions hold random documents,
-    sorted by that key. Columns of these names in docs are replaced.
+    sorted by that key. Columns of these names in docs are replaced; all others are kept whatever their names.
 
     * Null sources are one source of their own. Null ids are told apart by their text. Rows that share an id are
       repeated equally often.
-    * Null and empty texts count as one code point in sizes. An empty table gives no rows.
+    * Null and empty texts count as one code point in sizes; texts of any length go whole. An empty table gives no rows.
     * The shuffle is by a hash of document and copy, so a source with a large part of all rows is spread evenly.
+      Where a rate is so high that documents may have more than BLOCK copies, each block of copies is dealt out first.
     """
     spark = docs.sparkSession
-    table = rates(docs, source_col=source_col, text_col=text_col, **options).select(F.col("source").alias("_mix_source"), _cumulative(F.col("rate")).alias("_mix_cdf"))
-    few = table.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    docs = docs.drop("copy_no", "order_key")
+    source, rate, count, block = unused(docs, "source_of_rate", "rate", "count", "block")
+    table = rates(docs, source_col=source_col, text_col=text_col, **options).select(F.col("source").alias(source), F.col("rate").alias(rate))
+    size, most = table.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col(source).cast("string")), F.lit(0)) + 24), F.lit(0)), F.max(rate)).first()
     ident = F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text "), F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    rows = docs.drop("copy_no", "order_key")
-    rows = rows.join(F.broadcast(table) if few else table, rows[source_col].eqNullSafe(table["_mix_source"]))
-    rows = rows.withColumn("_mix_u", uniform(seed, ident))
-    count = F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u")))
-    rows = rows.withColumn("_mix_n", count).where("_mix_n > 0")
-    rows = rows.withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_mix_n").cast("long"))))
+    rows = docs.join(F.broadcast(table) if size <= BROADCAST_BYTES else table, docs[source_col].eqNullSafe(table[source])).drop(source)
+    # Rates up to which a count beyond BLOCK has a chance below any 48-bit number.
+    tame = (np.sqrt(BLOCK + 16) - 6) ** 2 - 20
+    counted = F.arrow_udf(_counted, "long")
+    repeated = lambda x: x.withColumn(count, counted(uniform(seed, ident), F.col(rate))).where(F.col(count) > 0)
+    low = repeated(rows.where(F.col(rate) <= float(tame))).withColumn("copy_no", F.explode(F.sequence(F.lit(1).cast("long"), F.col(count)))).drop(rate, count)
+    if most is not None and most > tame:
+        high = repeated(rows.where(F.col(rate) > float(tame)))
+        high = high.withColumn(block, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(count) - 1) / BLOCK))))
+        high = high.repartition(F.xxhash64(ident, F.col(block)))
+        here = F.sequence(F.col(block) * BLOCK + 1, F.least(F.col(count), (F.col(block) + 1) * BLOCK))
+        low = low.unionByName(high.withColumn("copy_no", F.explode(here)).drop(rate, count, block))
     order = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":order:"), ident, F.lit(":"), F.col("copy_no").cast("string"))), 1, 15), 16, 10).cast("long")
-    rows = rows.withColumn("order_key", order).drop("_mix_source", "_mix_cdf", "_mix_u", "_mix_n")
-    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_key").sortWithinPartitions("order_key")
+    out = low.withColumn("order_key", order)
+    return out.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_key").sortWithinPartitions("order_key")
