@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .hashing import SPACES, WordHasher, mix, text_bytes
+from .scratch import stored
 
 #: Hash range of each of the three kinds of n-grams: of three bytes, of one word, of two words.
 RANGE = 1 << 16
@@ -18,6 +19,8 @@ RANGE = 1 << 16
 FEATURES = 3 * RANGE + 48
 #: Labelled documents to fit on, for each class: those with the smallest hashes of their ids.
 TRAIN_PER_CLASS = 1500
+#: Features of all of them together, four bytes each; in the order of hashes, documents beyond that are left out.
+TRAIN_FEATURES = 32_000_000
 ACCEPT = 0.7
 
 
@@ -61,9 +64,9 @@ def _features(batches):
     for batch in batches:
         for at in range(0, batch.num_rows, 64):
             part = batch.slice(at, 64)
-            found = [np.unique(x) for x in _texts(part, 1, hasher)]
+            found = [np.unique(x) for x in _texts(part, 2, hasher)]
             offsets = np.r_[0, np.cumsum([len(x) for x in found])].astype(np.int32)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))], ["y", "ids"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found).astype(np.int32)))], ["y", "h", "ids"])
 
 
 def _descend(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, rounds: int = 15, c: float = 1.0) -> tuple[np.ndarray, float]:
@@ -140,8 +143,8 @@ def fitted(rows: list[np.ndarray], y: np.ndarray, share: float) -> Model:
     return Model(ratio, weight, bias, slope, shift)
 
 
-def learned(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = TRAIN_PER_CLASS, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
-    """Fit on at most per_class labelled documents of each class.
+def learned(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int = TRAIN_PER_CLASS, most_features: int = TRAIN_FEATURES, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """Fit on at most per_class labelled documents of each class, and at most most_features features of theirs.
 
     labels: rows of id_col and label (1 or 0; others and nulls are ignored; the smaller one of an id with both).
     trains: condition on id_col for rows that may be learned from.
@@ -150,8 +153,13 @@ def learned(docs: DataFrame, labels: DataFrame, trains: Column, per_class: int =
     n = {r["y"]: r["count"] for r in own.groupBy("y").count().collect()}
     pick = lambda y: own.where(F.col("y") == y).orderBy(F.xxhash64(F.col(id_col)), id_col).limit(per_class)
     chosen = pick(1).union(pick(0)).withColumnRenamed(id_col, "_id")
-    sample = docs.join(F.broadcast(chosen), docs[id_col] == chosen["_id"]).select(F.col("y").cast("int").alias("y"), docs[text_col].alias("text"), "_id")
-    table = sample.select("y", "text").mapInArrow(_features, "y int, ids array<int>").toArrow()
+    own = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_id")
+    sample = own.groupBy("_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # of rows that share an id, one text
+    found = stored(sample.select(F.col("y").cast("int").alias("y"), F.xxhash64("_id").alias("h"), "text").mapInArrow(_features, "y int, h long, ids array<int>"), "labelled")
+    # At most two classes' documents, so one window holds few rows.
+    before = F.sum(F.size("ids")).over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    within = found.select("h", before.alias("n")).where(F.col("n") <= most_features).agg(F.max("h")).first()[0]
+    table = found.where(F.col("h") <= F.lit(within)).select("y", "ids").toArrow() if within is not None else found.limit(0).select("y", "ids").toArrow()
     ids = table.column("ids").combine_chunks()
     rows = [np.asarray(ids[i].values) for i in range(len(ids))]
     y = np.where(np.asarray(table.column("y")) == 1, 1, -1) if len(ids) else np.zeros(0, int)
