@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import random
 import re
 import string
@@ -38,36 +37,53 @@ client config option param argument default result status code state update crea
 print debug info trace log test check valid invalid enable disable active current previous internal external public private static final""".split()
 
 
+#: Weight of the shorter context in a chain's estimates, in observations.
+BACK_OFF = 6.0
+
+
 @dataclass
 class Models:
-    table: np.ndarray  # log-likelihood ratio of each next character class after each character
-    start: np.ndarray
+    """Log-likelihood ratios of the two chains."""
+
+    start: np.ndarray  # of a first character
+    second: np.ndarray  # of a second one after the first
+    table: np.ndarray  # of each next one after two
 
 
 def _encoded(s: str) -> np.ndarray:
     return np.array([_ALPHABET.find(c) for c in s if c in _ALPHABET], np.int64)
 
 
-def trained(random_strings: list[str], ordinary: list[str]) -> Models:
-    """Order-1 Markov models of both classes with add-one smoothing; what is kept is their log ratio."""
+def _chain(sample: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log probabilities of an order-2 Markov chain that backs off to orders 1 and 0."""
     n = len(_ALPHABET)
-    logs, starts = [], []
-    for sample in (random_strings, ordinary):
-        pairs, first = np.ones((n, n)), np.ones(n)
-        for s in sample:
-            x = _encoded(s)
-            if len(x):
-                first[x[0]] += 1
-                np.add.at(pairs, (x[:-1], x[1:]), 1)
-        logs.append(np.log(pairs / pairs.sum(1, keepdims=True)))
-        starts.append(np.log(first / first.sum()))
-    return Models(logs[0] - logs[1], starts[0] - starts[1])
+    first, one, two, three = np.ones(n), np.ones(n), np.zeros((n, n)), np.zeros((n, n, n))
+    for s in sample:
+        x = _encoded(s)
+        if len(x):
+            first[x[0]] += 1
+            np.add.at(one, x, 1)
+            np.add.at(two, (x[:-1], x[1:]), 1)
+            np.add.at(three, (x[:-2], x[1:-1], x[2:]), 1)
+    p1 = one / one.sum()
+    p2 = (two + BACK_OFF * p1) / (two.sum(1, keepdims=True) + BACK_OFF)
+    p3 = (three + BACK_OFF * p2[None]) / (three.sum(2, keepdims=True) + BACK_OFF)
+    return np.log(first / first.sum()), np.log(p2), np.log(p3)
+
+
+def trained(random_strings: list[str], ordinary: list[str]) -> Models:
+    """Order-2 Markov models of both classes; what is kept is their log ratio."""
+    noise, plain = _chain(random_strings), _chain(ordinary)
+    return Models(*((a - b).astype(np.float32) for a, b in zip(noise, plain, strict=True)))
 
 
 def ratio(models: Models, s: str) -> float:
     """Mean log-likelihood ratio for each character: positive where s looks random."""
     x = _encoded(s)
-    return float((models.start[x[0]] + models.table[x[:-1], x[1:]].sum()) / len(x)) if len(x) else 0.0
+    if not len(x):
+        return 0.0
+    total = float(models.start[x[0]]) + (float(models.second[x[0], x[1]]) if len(x) > 1 else 0.0)
+    return (total + float(models.table[x[:-2], x[1:-1], x[2:]].sum(dtype=np.float64))) / len(x)
 
 
 def samples(words: list[str], n: int = 4000, seed: int = 11) -> tuple[list[str], list[str]]:
@@ -102,7 +118,7 @@ def learned(docs: DataFrame, text_col: str = "text", most_docs: int = TRAIN_DOCS
     words the most_words that most of the texts hold.
     """
     own = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
-    last = own.select("h").orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]  # hashes alone are gathered, not texts
+    last = own.select("h").distinct().orderBy("h").limit(most_docs).agg(F.max("h")).first()[0]  # hashes alone are gathered, not texts
     few = own.where(F.col("h") <= F.lit(last)).groupBy("h").agg(F.first("text").alias("text")) if last is not None else own.limit(0)
     words = few.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{4,24}\b"), F.lit(0)))).alias("w")).groupBy("w").count()
     rows = words.orderBy(F.desc("count"), "w").limit(most_words).collect()
@@ -116,7 +132,6 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return found + [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
 
 
-@functools.cache
 def _candidates(least: int) -> re.Pattern:
     return re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{least},}}(?![A-Za-z0-9+/_=-])")
 
@@ -132,10 +147,14 @@ def added_spans(text: str, base: list[tuple[int, int, str]], models: Models, thr
     A candidate is a whole run of letters, digits and +/_=- of at least `least` characters, `distinct` of them different.
     One that overlaps a base span is left out, as that span reports it.
     """
-    out = []
+    out, at, reach = [], 0, 0
+    base = sorted(base)
     for m in _candidates(least).finditer(text):
+        while at < len(base) and base[at][0] < m.end():  # both lists rise, so each base span is looked at once
+            reach = max(reach, base[at][1])
+            at += 1
         s = m[0]
-        if len(set(s)) >= distinct and not any(a < m.end() and m.start() < b for a, b, _ in base) and not s.isdigit() and ratio(models, s) >= asked(threshold, len(s)):
+        if reach <= m.start() and len(set(s)) >= distinct and not s.isdigit() and ratio(models, s) >= asked(threshold, len(s)):
             out.append((m.start(), m.end(), "markov"))
     return out
 
@@ -147,6 +166,8 @@ def scanned(texts: Column, models: Models, threshold: float = THRESHOLD, least:
     """For each whole text a struct of base and added spans (kind, start, end; code points, end exclusive).
 
     Both lists are sorted by start, then kind in the order assign, access, hex, markov. Null and empty texts have none.
+    Texts of any length are scanned whole, in time that grows with their length. Rows are scanned one by one, so repeated
+    rows have the same spans and an empty table has none; a ratio of exactly the threshold is a secret. No column is named.
     """
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
@@ -165,7 +186,7 @@ def scanned(texts: Column, models: Models, threshold: float = THRESHOLD, least:
 
 
 def redacted(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """The text with each span replaced by the mask; overlapping spans are one."""
+    """The text with each span replaced by the mask; overlapping spans are one. Null texts stay null, null spans are none; any length goes."""
 
     @F.arrow_udf("string")
     def cut(texts: pa.Array, found: pa.Array) -> pa.Array:
