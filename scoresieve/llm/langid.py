@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,13 +45,19 @@ class Model:
     allowed: np.ndarray  # script by language: 0 where the language is written in the script, else a large negative number
 
 
+#: Code points that have letters: planes 0 to 3.
+POINTS = 0x40000
+
+
 class Letters:
-    """Letters of texts as lower-case code points, and their words."""
+    """Letters of texts as lower-case code points, and their words: runs of letters and combining marks that begin with a letter."""
 
     def __init__(self):
-        self.letter = np.fromiter((chr(i).isalpha() for i in range(0x10000)), bool, 0x10000)
-        self.lower = np.arange(0x10000, dtype=np.uint32)
-        for i in range(0x3000):
+        kind = [unicodedata.category(chr(i))[0] for i in range(POINTS)]
+        self.letter = np.array([k == "L" for k in kind])
+        self.mark = np.array([k == "M" for k in kind])
+        self.lower = np.arange(POINTS, dtype=np.uint32)
+        for i in np.flatnonzero(self.letter[:0x20000]):
             low = chr(i).lower()
             self.lower[i] = ord(low) if len(low) == 1 else i
         self.starts = np.array([a for a, _ in SCRIPTS], np.uint32)
@@ -59,10 +66,13 @@ class Letters:
     def words(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Trigram hash at each letter, where words start among the letters, each word's script, and its start and end in the text."""
         c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        small = c < 0x10000
-        low = np.where(small, c, 0)
-        is_letter = self.letter[low] | (~small & (c >= 0x20000))
-        code = np.where(is_letter, np.where(small, self.lower[low], c), 0).astype(np.uint32)
+        low = np.where(c < POINTS, c, 0)
+        is_letter = self.letter[low]
+        mark = self.mark[low]
+        if mark.any():  # a mark belongs to the word of the letter before it, with other marks between them
+            at = np.maximum.accumulate(np.where(mark, -1, np.arange(len(c))))
+            is_letter = is_letter | (mark & (at >= 0) & is_letter[np.maximum(at, 0)])
+        code = np.where(is_letter, self.lower[low], 0).astype(np.uint32)
         padded = np.zeros(len(c) + 2, np.uint32)
         padded[1:-1] = code
         h = (padded[:-2] * np.uint32(0x9E3779B1)) ^ (padded[1:-1] * np.uint32(0x85EBCA6B)) ^ (padded[2:] * np.uint32(0xC2B2AE35))
@@ -108,7 +118,8 @@ def learned(docs: DataFrame, trains: Column, per_lang: int = TRAIN_PER_LANG, id_
     names = np.asarray(sums.column("lang").to_pylist(), object)
     langs = sorted(set(names))
     counts = np.zeros((len(langs), RANGE + len(SCRIPT_NAMES)))
-    counts[[langs.index(x) for x in names], np.asarray(sums.column("feature"))] = np.asarray(sums.column("n"))
+    place = {lang: i for i, lang in enumerate(langs)}
+    counts[[place[x] for x in names], np.asarray(sums.column("feature"))] = np.asarray(sums.column("n"))
     grams, scripts = counts[:, :RANGE] + 0.1, counts[:, RANGE:]
     table = np.log(grams / grams.sum(1, keepdims=True)).T if langs else np.zeros((RANGE, 0))
     share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
@@ -176,12 +187,11 @@ def _labelled(texts: list[str], letters: Letters, model: Model, switch: float) -
     scores += np.where(known[:, None], open_to, 0)
     labels = _viterbi(scores, np.asarray(lengths), switch)
     out, at = [], 0
-    for text, n, (starts, ends) in zip(texts, lengths, places, strict=True):
+    for n, (starts, ends) in zip(lengths, places, strict=True):
         own = labels[at : at + n]
         at += n
         if not n or not model.langs:
-            fallback = UNKNOWN if not any(c.isalpha() for c in text) or not model.langs else model.langs[0]
-            out.append({"lang": fallback, "score": 0.0, "spans": []})
+            out.append({"lang": UNKNOWN, "score": 0.0, "spans": []})
             continue
         by_lang = np.bincount(own, weights=ends - starts, minlength=len(model.langs))
         best = int(by_lang.argmax())
@@ -196,12 +206,17 @@ def identified(texts: Column, model: Model, switch: float = SWITCH) -> Column:
     """For each whole text a struct of lang, score (share of its letters labelled so) and spans (start, end, lang; code points).
 
     ``und`` where a text is null or has no letter. A word whose script no learned language uses is scored by all of them.
-    Ties go to the first language in order. Without any learned language every text is ``und``.
+    Ties go to the first language in order. Without any learned language every text is ``und``. Combining marks belong to
+    the word of the letter before them. Texts of any length are labelled whole. Rows are labelled one by one, so repeated
+    rows agree and an empty table gives none; no column is named.
     """
+    known: list[Letters] = []
 
     @F.arrow_udf(RESULT)
     def label(column: pa.Array) -> pa.Array:
-        letters, out, group, size = Letters(), [], [], 0
+        if not known:  # once for each task
+            known.append(Letters())
+        letters, out, group, size = known[0], [], [], 0
         for i in range(len(column)):
             text = column[i].as_py() or ""
             group.append(text)
