@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import json
+import shutil
+import tempfile
+import uuid
+import warnings
 from collections.abc import Callable
 from functools import cache
+from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.expressions import double, min_max
 from .functions.weighting import linear, signature, softmax
 from .operators import hierarchy, metrics, normalize, scoring, selection, text, trials, vectors
 from .plans import search
-from .sources import index
+from .sources import files, index, pool
 from .sources.pool import score_keys
+from .sources.scratch import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -301,7 +308,7 @@ def metric_clusters(spark, sf_dir):
     return spark.createDataFrame(sorted(metrics.metric_clusters(t, t.columns, 2).items()), "key string, cluster int")
 
 
-@registered("SELECT count(*) AS n, count(DISTINCT event_id) AS distinct_n FROM (SELECT event_id FROM events LIMIT 1000)")
+@registered("SELECT least(count(*), 1000) AS n, least(count(*), 1000) AS distinct_n FROM events")
 def metric_sample(spark, sf_dir):
     t = metrics.sample_rows(table(spark, sf_dir, "events"), 1000, line="event_id")
     return t.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("event_id").alias("distinct_n"))
@@ -458,45 +465,58 @@ def zombie_trials(spark, sf_dir):
     return _history(spark, sf_dir).where(trials.zombies(now)).select("trial_number")
 
 
-def _losses(spark):
-    rows = [(i, "COMPLETE", 10.0 - v) for i, v in enumerate([0.0, 1.0, 1.05, 1.0, 1.2, 1.1, 1.2, 1.15, 1.18, 2.0])]
-    return spark.createDataFrame(rows, "trial_number int, state string, eval_loss double")
+def _losses(spark, sf_dir):
+    """The first events as completed trials."""
+    return table(spark, sf_dir, "events").where("event_id < 400").select(F.col("event_id").cast("int").alias("trial_number"), F.lit("COMPLETE").alias("state"), F.col("value").alias("eval_loss"))
 
 
-@registered("SELECT 8 AS stopped_at, 8.8::DOUBLE AS best")
+def _stop_sql(patience: int, delta: float) -> str:
+    better = f"v < best - {delta}::DOUBLE"
+    return f"""WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY event_id) AS i, event_id::INT AS n, value AS v FROM events WHERE event_id < 400),
+    s AS (SELECT 0::BIGINT AS i, 'infinity'::DOUBLE AS best, 0 AS run, NULL::INT AS stop UNION ALL
+    SELECT l.i, CASE WHEN {better} THEN v ELSE best END, CASE WHEN {better} THEN 0 ELSE run + 1 END, CASE WHEN NOT ({better}) AND run + 1 >= {patience} THEN l.n END FROM s JOIN l ON l.i = s.i + 1 WHERE s.stop IS NULL)
+    SELECT stop AS stopped_at, best FROM s ORDER BY i DESC LIMIT 1"""
+
+
+@registered(_stop_sql(12, 0.0))
 def early_stop_point(spark, sf_dir):
-    return trials.early_stop(_losses(spark), 4, 0.0).select("stopped_at", F.round("best", 9).alias("best"))
+    return trials.early_stop(_losses(spark, sf_dir), 12, 0.0)
 
 
-@registered("SELECT 4 AS stopped_at, 9.0::DOUBLE AS best")
+@registered(_stop_sql(25, 0.75))
 def early_stop_delta(spark, sf_dir):
-    return trials.early_stop(_losses(spark), 3, 0.5).select("stopped_at", F.round("best", 9).alias("best"))
+    return trials.early_stop(_losses(spark, sf_dir), 25, 0.75)
 
 
-_OLD = [("x", "COMPLETE", 0), ("y", "WAITING", 0), ("z", "RUNNING", 0), ("u", "RUNNING", 48), ("v", "FAIL", 0), ("x", "FAIL", 0)]
-_NEW = [(1, "x"), (2, "y"), (3, "z"), (4, "u"), (5, "v"), (6, "w"), (7, "w")]
+_KIND = "(o_custkey % 97) % 5"
+_OLD = f"""c AS (SELECT c_custkey AS entry, (c_custkey * 7 % 111)::VARCHAR AS signature FROM customer WHERE c_custkey <= 300),
+old AS (SELECT (o_custkey % 97)::VARCHAR AS signature, CASE {_KIND} WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'WAITING' WHEN 3 THEN 'FAIL' ELSE 'RUNNING' END AS state, {_KIND} = 4 AS stuck FROM orders)"""
 
 
-def _signed(spark):
-    start = F.lit("2024-01-10").cast("timestamp") - F.make_dt_interval(hours=F.col("h"))
-    old = spark.createDataFrame(_OLD, "signature string, state string, h int").withColumn("datetime_start", start)
-    return spark.createDataFrame(_NEW, "entry int, signature string"), old, F.lit("2024-01-10").cast("timestamp")
+def _signed(spark, sf_dir):
+    """Customers as candidates, orders as trials of 97 signatures, a fifth of them stuck."""
+    new = table(spark, sf_dir, "customer").where("c_custkey <= 300").select(F.col("c_custkey").alias("entry"), (F.col("c_custkey") * 7 % 111).cast("string").alias("signature"))
+    now, kind = F.lit("2024-01-10").cast("timestamp"), F.col("o_custkey") % 97 % 5
+    state = F.when(kind == 0, "COMPLETE").when(kind == 1, "WAITING").when(kind == 3, "FAIL").otherwise("RUNNING")
+    old = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 97).cast("string").alias("signature"), state.alias("state"), F.when(kind == 4, F.col("o_orderdate")).otherwise(now).alias("datetime_start"))
+    return new, old, now
 
 
-@registered("SELECT * FROM (VALUES (1, 'x', 'skip_complete'), (2, 'y', 'skip_waiting'), (3, 'z', 'skip_running'), (4, 'u', 'retry'), (5, 'v', 'retry'), (6, 'w', 'new'), (7, 'w', 'duplicate')) t(entry, signature, action)")
+@registered(f"""WITH {_OLD}, s AS (SELECT signature, max(CASE WHEN state = 'COMPLETE' THEN 4 WHEN state = 'WAITING' THEN 3 WHEN state = 'RUNNING' AND NOT stuck THEN 2 ELSE 1 END) AS x FROM old GROUP BY 1)
+SELECT entry, c.signature, CASE WHEN row_number() OVER (PARTITION BY c.signature ORDER BY entry) > 1 THEN 'duplicate' WHEN x = 4 THEN 'skip_complete' WHEN x = 3 THEN 'skip_waiting' WHEN x = 2 THEN 'skip_running' WHEN x = 1 THEN 'retry' ELSE 'new' END AS action FROM c LEFT JOIN s USING (signature)""")
 def enqueue_plan(spark, sf_dir):
-    return trials.enqueue_plan(*_signed(spark))
+    return trials.enqueue_plan(*_signed(spark, sf_dir))
 
 
-@registered("SELECT * FROM (VALUES (2, 'y'), (3, 'z'), (4, 'u'), (5, 'v'), (6, 'w')) t(entry, signature)")
+@registered(f"WITH {_OLD} SELECT min(entry) AS entry, signature FROM c WHERE signature NOT IN (SELECT signature FROM old WHERE state = 'COMPLETE') GROUP BY signature")
 def signature_antijoin(spark, sf_dir):
-    new, old, _ = _signed(spark)
+    new, old, _ = _signed(spark, sf_dir)
     return trials.unseen(new, old).select("entry", "signature")
 
 
-@registered("SELECT * FROM (VALUES ('COMPLETE', 'x'), ('WAITING', 'y'), ('RUNNING', 'z'), ('ZOMBIE', 'u'), ('FAIL', 'v,x')) t(status, signatures)")
+@registered(f"WITH {_OLD} SELECT status, string_agg(signature, ',' ORDER BY signature) AS signatures FROM (SELECT DISTINCT CASE WHEN stuck THEN 'ZOMBIE' ELSE state END AS status, signature FROM old) GROUP BY status")
 def signatures_by_state(spark, sf_dir):
-    _, old, now = _signed(spark)
+    _, old, now = _signed(spark, sf_dir)
     return trials.signatures_by_state(old, now).withColumn("signatures", F.array_join("signatures", ","))
 
 
@@ -529,6 +549,262 @@ def tpe_search(spark, sf_dir):
     return study.frame(spark).select("trial_number", "state", "eval_loss", "is_warmup")
 
 
-@registered("SELECT '0.2,0.3' AS signature")
+@registered("WITH w AS (SELECT unnest(['a', 'b', 'unknown']) AS k, unnest([0.4, 0.6, 1.0])::DOUBLE AS w) SELECT string_agg(round(w / t, 4)::VARCHAR, ',' ORDER BY k) AS signature FROM w, (SELECT sum(w) AS t FROM w) WHERE k <> 'unknown'")
 def weight_signature(spark, sf_dir):
     return spark.createDataFrame([(",".join(map(str, signature({"a": 0.4, "b": 0.6, "unknown": 1.0}, ["a", "b"]))),)], "signature string")
+
+
+# ---- files: tables written as the files that the library reads, and read again
+
+
+def _written(lines: DataFrame, order: str) -> str:
+    """The folder of a pool that holds column raw, in order."""
+    path = f"{shared_dir(lines.sparkSession)}/scoresieve/pool-{uuid.uuid4().hex}"
+    pool.write_raw(lines.orderBy(order), path)
+    return path
+
+
+def _ids(spark, sf_dir) -> DataFrame:
+    raw = F.concat(F.lit('{"id": '), F.col("doc_id"), F.lit(', "n": '), F.col("n_chars"), F.lit(', "source": "'), F.col("source"), F.lit('"}'))
+    return table(spark, sf_dir, "documents").select("doc_id", "n_chars", "source", raw.alias("raw"))
+
+
+_AT = "row_number() OVER (ORDER BY doc_id) - 1"
+_RAW = """'{"id": ' || doc_id || ', "n": ' || n_chars || ', "source": "' || source || '"}'"""
+
+
+@registered(f"SELECT {_AT} AS line_idx, doc_id::VARCHAR AS id, source AS instruction, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM documents LEFT JOIN labels USING (doc_id)")
+def jsonl_scan(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    path = f"{shared_dir(spark)}/scoresieve/pool-{uuid.uuid4().hex}"
+    pool.write_json_lines(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("instruction"), F.struct("quality", "toxic").alias("scores")).orderBy("id"), path)
+    return pool.read_pool(spark, path).select("line_idx", "id", "instruction", F.col("scores")["quality"].alias("quality"), F.col("scores")["toxic"].alias("toxic"))
+
+
+@registered(f"SELECT line_idx, doc_id::VARCHAR AS id FROM (SELECT {_AT} AS line_idx, doc_id FROM documents) WHERE doc_id % 7 NOT IN (3, 5)")
+def jsonl_tolerant_scan(spark, sf_dir):
+    kind = F.col("doc_id") % 7
+    lines = _ids(spark, sf_dir).withColumn("raw", F.when(kind == 3, F.substring("raw", 1, 9)).when(kind == 5, " ").otherwise(F.col("raw")))
+    return pool.read_pool(spark, _written(lines, "doc_id"), on_error="drop").select("line_idx", "id")
+
+
+@registered("SELECT min(doc_id) AS id, arg_min(n_chars, doc_id) AS n FROM documents WHERE doc_id > 4")
+def first_record(spark, sf_dir):
+    lines = _ids(spark, sf_dir).withColumn("raw", F.when(F.col("doc_id") <= 4, "").otherwise(F.col("raw")))
+    found = pool.first_record(pool.read_lines(spark, _written(lines, "doc_id")))
+    return spark.createDataFrame([(found["id"], found["n"])], "id long, n long")
+
+
+@registered(f"SELECT {_RAW} AS value FROM documents WHERE n_chars > 500")
+def raw_passthrough(spark, sf_dir):
+    return spark.read.text(_written(_ids(spark, sf_dir).where("n_chars > 500"), "doc_id"))
+
+
+@registered(f"SELECT {_AT} AS line_idx, {_RAW} AS raw FROM documents")
+def line_positions(spark, sf_dir):
+    return pool.read_lines(spark, _written(_ids(spark, sf_dir), "doc_id"))
+
+
+@registered("SELECT doc_id, source FROM documents WHERE n_chars > 500")
+def replaced_table(spark, sf_dir):
+    path = f"{shared_dir(spark)}/scoresieve/table-{uuid.uuid4().hex}"
+    _ids(spark, sf_dir).select("doc_id", "n_chars", "source").write.parquet(path)
+    pool.replaced(spark.read.parquet(path).where("n_chars > 500").select("doc_id", "source"), path)
+    return spark.read.parquet(path)
+
+
+@registered(f"SELECT {_AT} AS line_idx, n_chars::DOUBLE AS v FROM documents")
+def scores_or_source(spark, sf_dir):
+    field = F.when(F.col("doc_id") % 2 == 0, "scores").otherwise("source")
+    lines = _ids(spark, sf_dir).withColumn("raw", F.concat(F.lit('{"'), field, F.lit('": {"v": '), F.col("n_chars"), F.lit(', "w": "x"}}')))
+    rows = pool.read_pool(spark, _written(lines, "doc_id"))
+    return rows.select("line_idx", pool.scores_or_source()["v"].alias("v"))
+
+
+@registered("SELECT o_orderkey AS line_idx, o_custkey::DOUBLE AS c, o_totalprice AS t FROM orders")
+def index_columns(spark, sf_dir):
+    path = f"{shared_dir(spark)}/scoresieve/index-{uuid.uuid4().hex}"
+    own = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_idx"), F.col("o_totalprice").alias("t"), F.col("o_custkey").cast("double").alias("c"), F.lit(1.0).alias("x"))
+    index.save_index(own, path)
+    return index.load_index(spark, path, ["c", "t"])
+
+
+def _records(spark, sf_dir) -> DataFrame:
+    """Records with fields of all kinds and two scores; each eleventh line is none."""
+    text = F.concat(F.lit('{"id": '), F.col("doc_id"), F.lit(', "lang": "'), F.col("lang"), F.lit('", "meta": {"z": [1, 2.5], "a": null}, "scores": {"q": '), F.col("n_chars"), F.lit(', "note": "5", "t": '), F.col("doc_id") % 10, F.lit("}, \"list\": [true]}"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 11 == 10, F.concat(F.lit("{broken "), F.col("doc_id"))).otherwise(text).alias("raw"))
+    return pool.records(pool.read_lines(spark, _written(lines, "doc_id")))
+
+
+def _read(lines: DataFrame, more: str = "") -> DataFrame:
+    """Line, what must not change, and the scores, read again; broken lines as they are."""
+    schema = f"id long, lang string, meta string, list string, scores struct<q double, t double, note string{more}>, final_score double, cluster_id long"
+    return lines.select("line_idx", F.when(F.col("raw").startswith("{broken"), F.col("raw")).alias("broken"), F.from_json("raw", schema).alias("j")).select("line_idx", "broken", "j.id", "j.lang", "j.meta", "j.list", "j.scores.note", "j.scores.q", "j.scores.t", "j.final_score", "j.cluster_id")
+
+
+_RECORDS = f"d AS (SELECT doc_id, {_AT} AS line_idx, lang, n_chars::DOUBLE AS q, (doc_id % 10)::DOUBLE AS t, doc_id % 11 = 10 AS bad FROM documents)"
+_SAME = """line_idx, CASE WHEN bad THEN '{broken ' || doc_id END AS broken, CASE WHEN NOT bad THEN doc_id END AS id, CASE WHEN NOT bad THEN lang END AS lang, CASE WHEN NOT bad THEN '{"z":[1,2.5],"a":null}' END AS meta, CASE WHEN NOT bad THEN '[true]' END AS list, CASE WHEN NOT bad THEN '5' END AS note"""
+
+
+def _kept(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select("line_idx", "broken", "id", "lang", "meta", "list", "note", *more)
+
+
+@registered(f"""WITH {_RECORDS}, b AS (SELECT quantile_cont(q, 0.05) AS q0, quantile_cont(q, 0.95) AS q1, quantile_cont(t, 0.05) AS t0, quantile_cont(t, 0.95) AS t1 FROM d WHERE NOT bad)
+SELECT {_SAME}, CASE WHEN NOT bad THEN (least(greatest(q, q0), q1) - q0) / (q1 - q0) END AS q, CASE WHEN NOT bad THEN 1 - (least(greatest(t, t0), t1) - t0) / (t1 - t0) END AS t FROM d, b""")
+def normalize_record(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    limits = normalize.bounds_dict(normalize.bounds(index.wide(rows.where("has_scores").select("scores"), ["q", "t"]), ["q", "t"], 5, 95))
+    entries = normalize.normalized_entries(F.col("entries"), F.col("scores"), limits, ["t"])
+    fields = F.when(F.col("has_scores"), pool.put(F.col("fields"), {"scores": pool.object_text(entries)})).otherwise(F.col("fields"))
+    return _kept(_read(rows.select("line_idx", pool.rewritten(fields, F.col("raw")).alias("raw"))), "q", "t")
+
+
+@registered(f"""WITH {_RECORDS}, s AS (SELECT *, 0.0::DOUBLE + q * 0.5::DOUBLE + t * 2.0::DOUBLE AS s FROM d WHERE NOT bad), m AS (SELECT min(s) AS lo, max(s) AS hi FROM s)
+SELECT {_SAME}, q, t, s AS "Layer1_c1_orig", (s - lo) / (hi - lo) AS "Layer1_c1" FROM s, m""")
+def layers_record(spark, sf_dir):
+    from . import cli
+
+    lines = cli.layered(_records(spark, sf_dir).where("fields is not null"), {"Layer1_c1": {"q": 0.5, "t": 2.0}})
+    both = F.from_json("raw", "scores struct<Layer1_c1_orig double, Layer1_c1 double>")
+    return _kept(_read(lines), "q", "t").join(lines.select("line_idx", both["scores"]["Layer1_c1_orig"].alias("Layer1_c1_orig"), both["scores"]["Layer1_c1"].alias("Layer1_c1")), "line_idx")
+
+
+@registered(f"WITH {_RECORDS} SELECT {_SAME}, CASE WHEN NOT bad THEN q END AS q, CASE WHEN NOT bad THEN 0.0::DOUBLE + q * 0.25::DOUBLE + t * (-1.5)::DOUBLE END AS final_score FROM d")
+def final_score_record(spark, sf_dir):
+    from . import cli
+
+    return _kept(_read(cli.finished(_records(spark, sf_dir), {"q": 0.25, "t": -1.5, "gone": 3.0})), "q", "final_score")
+
+
+@registered(f"WITH {_RECORDS} SELECT {_SAME}, q, t, doc_id % 5 AS cluster_id FROM d WHERE NOT bad")
+def assign_record(spark, sf_dir):
+    rows = _records(spark, sf_dir)
+    labels = table(spark, sf_dir, "documents").select((F.row_number().over(Window.orderBy("doc_id")) - 1).cast("long").alias("line_idx"), (F.col("doc_id") % 5).alias("cluster_id"))
+    out = vectors.assign_clusters(rows, labels).where("fields is not null")
+    return _kept(_read(out.select("line_idx", pool.rewritten(pool.put(F.col("fields"), {"cluster_id": F.col("cluster_id").cast("string")}), F.col("raw")).alias("raw"))), "q", "t", "cluster_id")
+
+
+def _nations(spark, sf_dir) -> list:
+    return table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
+
+
+def _in_file(name: str, text: str, read):
+    """What read makes of a small file of the driver."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = Path(folder, name)
+        path.write_text(text)
+        return read(str(path))
+
+
+@registered("SELECT n_name AS key, n_nationkey + 0.5::DOUBLE AS weight FROM nation")
+def weights_file(spark, sf_dir):
+    text = json.dumps({"best_weights": {r["n_name"]: r["n_nationkey"] + 0.5 for r in _nations(spark, sf_dir)}, "other": 1})
+    return spark.createDataFrame(list(_in_file("w.json", text, files.load_weights).items()), "key string, weight double")
+
+
+@registered("SELECT 'Layer1_c' || n_regionkey AS cluster, n_name AS key, n_nationkey::DOUBLE AS weight FROM nation")
+def layer_weights_folder(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        for region in {r["n_regionkey"] for r in _nations(spark, sf_dir)}:
+            own = {r["n_name"]: float(r["n_nationkey"]) for r in _nations(spark, sf_dir) if r["n_regionkey"] == region}
+            files.save_best_weights(f"{folder}/Layer1_c{region}/best_weights.json", "s", 0.5, own, 3, 9, "linear", (0.0, 1.0))
+        found = files.load_all_weights(folder)
+    return spark.createDataFrame([(c, k, w) for c, own in found.items() for k, w in own.items()], "cluster string, key string, weight double")
+
+
+@registered("SELECT n_name AS study, n_nationkey::DOUBLE AS best_value, n_regionkey::BIGINT AS best_trial, n_nationkey + 100::BIGINT AS total_completed_trials, n_nationkey / 4.0::DOUBLE AS weight FROM nation")
+def best_weights_file(spark, sf_dir):
+    rows = []
+    with tempfile.TemporaryDirectory() as folder:
+        for r in _nations(spark, sf_dir):
+            files.save_best_weights(f"{folder}/w.json", r["n_name"], float(r["n_nationkey"]), {"a": r["n_nationkey"] / 4.0}, r["n_regionkey"], r["n_nationkey"] + 100, "softmax", (-5.0, 5.0))
+            data = json.loads(Path(folder, "w.json").read_text())
+            rows.append((data["study_name"], data["best_value"], data["best_trial"], data["total_completed_trials"], data["best_weights"]["a"]))
+    return spark.createDataFrame(rows, "study string, best_value double, best_trial long, total_completed_trials long, weight double")
+
+
+@registered("SELECT n_regionkey::DOUBLE AS a, n_nationkey::DOUBLE AS eval_loss FROM nation WHERE n_nationkey % 4 <> 1")
+def warmup_file(spark, sf_dir):
+    entries = [{"weights": {"a": r["n_regionkey"]}, **({} if r["n_nationkey"] % 4 == 1 else {"eval_loss": r["n_nationkey"]})} for r in _nations(spark, sf_dir)]
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")
+        found = _in_file("t.json", json.dumps(entries), lambda p: files.load_warmup_trials(p, ["a"]))
+    return spark.createDataFrame([(w["a"], loss) for w, loss in found], "a double, eval_loss double")
+
+
+@registered("SELECT n_regionkey::DOUBLE AS a, n_nationkey::DOUBLE AS b FROM nation WHERE n_nationkey % 4 <> 1")
+def enqueued_file(spark, sf_dir):
+    entries = [3 if r["n_nationkey"] % 4 == 1 else {"a": r["n_regionkey"], "b": r["n_nationkey"]} for r in _nations(spark, sf_dir)]
+    return spark.createDataFrame([(w["a"], w["b"]) for w in _in_file("t.json", json.dumps(entries), files.load_enqueued)], "a double, b double")
+
+
+@registered("SELECT arg_max(value, event_id) AS loss FROM events WHERE event_id < 500 AND event_id % 3 = 0")
+def last_eval_loss(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_id < 500").orderBy("event_id").collect()
+    text = json.dumps({"log_history": [{"eval_loss": r["value"]} if r["event_id"] % 3 == 0 else {"loss": r["value"]} for r in rows]})
+    return spark.createDataFrame([(_in_file("s.json", text, lambda p: files.last_eval_loss(spark, p)),)], "loss double")
+
+
+@registered("SELECT n_name AS name, row_number() OVER (ORDER BY n_nationkey) - 1 AS place FROM nation")
+def score_list_file(spark, sf_dir):
+    text = "# names\n\n" + "\n".join(f" {r['n_name']} " for r in _nations(spark, sf_dir))
+    return spark.createDataFrame([(n, i) for i, n in enumerate(_in_file("n.txt", text, files.score_list))], "name string, place long")
+
+
+@registered("SELECT n_name AS key, 'shown ' || n_nationkey AS shown FROM nation")
+def display_names_file(spark, sf_dir):
+    marks = ["\t", "=", ","]
+    text = "\n".join(f"{r['n_name']}{marks[r['n_nationkey'] % 3]}shown {r['n_nationkey']}" for r in _nations(spark, sf_dir))
+    return spark.createDataFrame(list(_in_file("n.txt", text, files.display_names).items()), "key string, shown string")
+
+
+@registered("SELECT row_number() OVER (ORDER BY vec_id) - 1 AS line_idx, len(embedding)::INT AS dim, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
+def array_file(spark, sf_dir):
+    folder = tempfile.mkdtemp()
+    files.write_array(_vectors(spark, sf_dir), f"{folder}/v.npy")
+    rows = files.read_array(spark, f"{folder}/v.npy").select("line_idx", F.size("vector").alias("dim"), F.round(F.aggregate("vector", double(0.0), lambda s, x: s + x), 6).alias("total"))
+    out = spark.createDataFrame(rows.collect(), rows.schema)  # as many rows as the table has vectors here
+    shutil.rmtree(folder)
+    return out
+
+
+@registered("SELECT n_nationkey AS trial_number, CASE n_nationkey % 3 WHEN 0 THEN 'COMPLETE' WHEN 1 THEN 'FAIL' ELSE 'WAITING' END AS state, CASE WHEN n_nationkey % 3 = 0 THEN n_regionkey + 0.125::DOUBLE END AS eval_loss, n_nationkey % 2 = 0 AS is_warmup FROM nation")
+def study_store(spark, sf_dir):
+    study = search.Study(":memory:", "demo")
+    for r in _nations(spark, sf_dir):
+        done = r["n_nationkey"] % 3 == 0
+        study.add(state=("COMPLETE", "FAIL", "WAITING")[r["n_nationkey"] % 3], weights={"a": 1.0}, value=r["n_regionkey"] + 0.125 if done else None, warmup=r["n_nationkey"] % 2 == 0)
+    return study.frame(spark).select("trial_number", "state", "eval_loss", "is_warmup")
+
+
+@registered(f"WITH {_TRIALS} SELECT trial_number, state, eval_loss, (o_orderkey % 5)::DOUBLE AS a FROM t JOIN orders ON o_orderkey = trial_number")
+def trials_json(spark, sf_dir):
+    path = f"{shared_dir(spark)}/scoresieve/trials-{uuid.uuid4().hex}"
+    trials.export_json(_history(spark, sf_dir), path)
+    return spark.read.schema("trial_number int, state string, eval_loss double, weights map<string,double>").json(path).select("trial_number", "state", "eval_loss", F.col("weights")["a"].alias("a"))
+
+
+@registered(" UNION ALL ".join(f"SELECT '{k}' AS key FROM (SELECT *, 1.0 AS one, NULL::DOUBLE AS none FROM lineitem) HAVING count(DISTINCT {k}) > 1" for k in [*LINE_KEYS, "one", "none"]))
+def varying_metrics(spark, sf_dir):
+    t = table(spark, sf_dir, "lineitem").select(*LINE_KEYS, double(1.0).alias("one"), F.lit(None).cast("double").alias("none"))
+    return spark.createDataFrame([(k,) for k in metrics.varying(t, t.columns)], "key string")
+
+
+@registered("SELECT r_regionkey + 1 AS cluster, count(*) AS n, string_agg(n_name, ',' ORDER BY n_name) AS names FROM region JOIN nation ON r_regionkey = n_regionkey GROUP BY 1")
+def cluster_report(spark, sf_dir):
+    text = metrics.report({r["n_name"]: r["n_regionkey"] + 1 for r in _nations(spark, sf_dir)}, None, {1: 0.5})
+    rows = []
+    for line in text.splitlines():
+        if line.startswith("Cluster"):
+            rows.append((int(line.split()[1]), int(line.split("(")[1].split()[0]), []))
+        else:
+            rows[-1][2].append(line.strip())
+    return spark.createDataFrame([(c, n, ",".join(sorted(names))) for c, n, names in rows], "cluster int, n long, names string")
+
+
+@registered("WITH o AS (SELECT o_orderkey AS line_idx, CASE WHEN o_custkey % 2 = 0 THEN o_orderstatus ELSE (o_custkey % 3)::VARCHAR END AS cluster_id, floor(o_totalprice / 10000) AS score FROM orders), " + _fill_sql(12.5))
+def sample_mixed_ids(spark, sf_dir):
+    group = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).otherwise((F.col("o_custkey") % 3).cast("string"))
+    t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_idx"), group.alias("cluster_id"), F.floor(F.col("o_totalprice") / 10000).cast("double").alias("score"))
+    return selection.top_percent(t, "score", 12.5, "cluster_id")
