@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from scoresieve.llm import decontam, graph, jaccard, lines, vectors
+from scoresieve.llm import decontam, graph, jaccard, lines, skew, vectors
 
 
 def least_labels(nodes, links):
@@ -76,6 +76,36 @@ def test_jaccard_ids_with_two_texts(spark, docs_of, words):
     assert got == {(3, 3), (8, 3), (7, 3), (5, 5)}
 
 
+def test_one_of_each_keeps_repeated_rows_once(spark, docs_of):
+    rows = [(1, "a b c d e f")] * 3 + [(2, "A b c d e f"), (3, "x y z one two three"), (3, "x y z one two three"), (3, "quite another text is this"), (4, None), (4, None), (5, "")]
+    kept = jaccard.one_of_each(docs_of(rows).withColumns({x: F.lit(1) for x in ("dropped", "repeated", "text_hash")}))
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(1, "a b c d e f"), (3, "x y z one two three"), (3, "quite another text is this"), (4, None), (5, "")], key=str)
+    assert "text_hash" in kept.columns
+
+
+def test_large_buckets_and_hot_keys(spark, docs_of, words, monkeypatch):
+    """Tiles and the ways around hot keys give the same components."""
+    monkeypatch.setattr(jaccard, "TILE", 3)
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 2)
+    monkeypatch.setattr(jaccard, "MEMBERS", 4)
+    rng = random.Random(21)
+    base = " ".join(rng.choices(words, k=40))
+    texts = [edited(rng, base, words, rng.randint(0, 4)) for _ in range(60)] + [base] * 5 + [" ".join(rng.choices(words, k=40)) for _ in range(10)]
+    sets = [shingles(t, 3) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.similar_documents(docs_of(texts), 3, 80, 100).collect()}
+    assert links and got == least_labels(range(len(texts)), links)
+
+
+def test_join_of_unequal_keys(spark):
+    from scoresieve.llm.skew import HOT_SHARE, joined
+
+    left = spark.range(20_000).selectExpr("id", "if(id % 3 = 0, 0, id) AS k")
+    right = left.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    got = joined(left, right, ["k"], 20_000, "n")
+    assert HOT_SHARE > 100 and got.count() == 20_000 and got.where("k = 0 and n != 6667").count() == 0
+
+
 def test_sketches_never_miss():
     """Sets at the very edge of similarity share a published block, whatever their sizes."""
     rng = np.random.default_rng(0)
@@ -238,6 +268,20 @@ def test_lines_edge_cases(spark, docs_of):
     assert lines.without_common_lines(docs_of(["a"] * 3), min_docs=4).where("line_dedup.n_dropped > 0").count() == 0
 
 
+def test_lines_with_columns_of_any_name(docs_of):
+    docs = docs_of(["a\nb", "a", None, "a", "c"]).withColumns({x: F.lit(1) for x in ("_ld_n", "_ld_d", "_ld_t", "bitmap", "bits", "word", "line_dedup", "hs", "n_lines")})
+    got = lines.without_common_lines(docs, min_docs=3)
+    assert sorted(got.columns) == sorted(docs.columns)
+    assert {r["doc_id"]: (r["line_dedup"]["text"], r["line_dedup"]["n_dropped"], r["bits"], r["d"]) for r in got.collect()} == {0: ("b", 1, 1, 7), 1: ("", 1, 1, 7), 2: ("", 0, 1, 7), 3: ("", 1, 1, 7), 4: ("c", 0, 1, 7)}
+
+
+def test_filter_that_lets_all_through(docs_of, monkeypatch):
+    monkeypatch.setattr(skew, "FILTER_WORDS", 1)
+    rows = [(i, f"own {i}\n" + ("shared" if i % 3 == 0 else "not")[: 3 + i]) for i in range(90)]
+    got = sorted((r["doc_id"], r["line_dedup"]["n_lines"], r["line_dedup"]["n_dropped"], r["line_dedup"]["text"]) for r in lines.without_common_lines(docs_of(rows), min_docs=10).collect())
+    assert got == sorted(brute_lines(rows, 10))
+
+
 def test_bitmaps_round_trip():
     keep = lines.unpacked(21, lines.packed(21, np.array([0, 7, 20])))
     assert np.flatnonzero(~keep).tolist() == [0, 7, 20]

@@ -68,6 +68,50 @@ def test_run_gives_the_last_stage(spark, corpus):
     assert out.columns == [*corpus_pipeline.COLUMNS, "copy_no", "order_key"] and out.count() > 20
 
 
+def test_run_goes_on_after_its_last_whole_stage(spark, corpus, monkeypatch):
+    """A run that breaks off and is started again does not repeat whole stages; spent tables are gone."""
+    from scoresieve.llm import scratch
+
+    stages, calls = list(corpus_pipeline.STAGES), []
+
+    def counted(i, f, breaks):
+        def stage(*args):
+            calls.append(i)
+            if breaks:
+                raise RuntimeError("lost")
+            return f(*args)
+
+        return stage
+
+    import uuid
+
+    name = f"test-{uuid.uuid4().hex}"
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(i, f, i == 2)) for i, (n, f) in enumerate(stages)])
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, corpus[0], name)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, counted(i, f, False)) for i, (n, f) in enumerate(stages)])
+    out = corpus_pipeline.run(spark, corpus[0], name)
+    assert calls == [0, 1, 2, 2, 3, 4] and out.count() > 20
+    base = f"{scratch.shared_dir(spark)}/scoresieve/run-{name}"
+    assert [scratch.exists(spark, f"{base}/{i + 1}-{n.replace(' ', '-')}") for i, (n, _) in enumerate(stages)] == [False, False, False, False, True]
+
+
+def test_empty_tables_repeated_rows_and_names(spark, corpus, tmp_path):
+    """Stages on empty documents, on rows that come twice, and on further columns."""
+    from pyspark.sql import functions as F
+
+    given = spark.read.parquet(f"{corpus[0]}/documents.parquet")
+    clash = {x: F.lit(7) for x in ("quality_score", "line_dedup", "copy_no", "rate", "dropped", "repeated", "text_hash", "n", "loses")}
+    twice = given.union(given.where("doc_id % 5 = 1")).withColumns(clash)
+    empty, kept = given.limit(0).withColumns(clash), {}
+    for name, stage in corpus_pipeline.STAGES:
+        empty = corpus_pipeline.stored(stage(spark, empty, corpus[0]), "test")
+        twice = corpus_pipeline.stored(stage(spark, twice, corpus[0]), "test")
+        kept[name] = [r["doc_id"] for r in twice.where("doc_id is not null").select("doc_id").collect()]
+        assert empty.count() == 0 and empty.columns[:5] == corpus_pipeline.COLUMNS
+    assert len(kept["line dedup"]) > len(set(kept["line dedup"])) and len(kept["n-gram Jaccard join"]) == len(set(kept["n-gram Jaccard join"]))
+
+
 def test_names_and_sql():
     numbers = sorted(int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES)
     assert numbers == list(range(1, 11)) and set(sql.ORACLE_SQL) < set(queries.QUERIES)

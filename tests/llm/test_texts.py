@@ -58,6 +58,52 @@ def test_shorter_random_strings_are_scored():
     assert spans("xK9f2LqPz7RbW4m", least=12)
 
 
+def test_added_spans_match_brute_force():
+    """Candidates, overlaps and thresholds by a plain reading of the rules."""
+    models = secrets.trained(*secrets.samples([]))
+    rng = random.Random(31)
+    run = lambda k: "".join(rng.choices("abcXYZ019+/_=-deadbeefQWRTzxcvb", k=k))
+    pieces = [lambda: run(rng.randint(3, 40)), lambda: "password=" + run(rng.randint(2, 20)), lambda: "".join(rng.choices("0123456789abcdef", k=rng.randint(10, 40))), lambda: "AKIA" + "".join(rng.choices("ABC123", k=20)), lambda: "user_account_settings_page", lambda: "9" * 30]
+    found = 0
+    for _ in range(300):
+        text = "".join(rng.choice(pieces)() + rng.choice([" ", "é", ".", ""]) for _ in range(rng.randint(1, 12)))
+        base, want, at = secrets.base_spans(text), [], 0
+        while at < len(text):
+            end = at
+            while end < len(text) and text[end] in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-":
+                end += 1
+            s = text[at:end]
+            if len(s) >= 16 and len(set(s)) >= 8 and not s.isdigit() and not any(max(a, at) < min(b, end) for a, b, _ in base):
+                if secrets.ratio(models, s) >= 0.9 * max(1, 20 / len(s)) ** 0.5:
+                    want.append((at, end, "markov"))
+            at = end + 1
+        found += len(want)
+        assert secrets.added_spans(text, base, models, secrets.THRESHOLD) == want
+    assert found > 50
+
+
+def test_recall_on_all_alphabets():
+    models = secrets.trained(*secrets.samples([]))
+    rng = random.Random(6)
+    for letters in ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyz0123456789"):
+        caught = sum(bool(secrets.added_spans("".join(rng.choices(letters, k=20)), [], models, secrets.THRESHOLD)) for _ in range(200))
+        assert caught > 180, letters
+
+
+def test_sample_of_words_is_of_different_texts(spark, docs_of, monkeypatch):
+    """Copies of one text do not fill the sample."""
+    taken = []
+    monkeypatch.setattr(secrets, "samples", lambda words: taken.append(set(words)) or ([], []))
+    secrets.learned(docs_of(["copied words"] * 300 + [f"{w} only" for w in ("alpha", "beta", "gamma", "delta")]), most_docs=5)
+    assert taken == [{"copied", "words", "only", "alpha", "beta", "gamma", "delta"}]
+
+
+def test_scan_takes_time_in_proportion():
+    models = secrets.trained(*secrets.samples([]))
+    text = " ".join(["password=hunter22 xK9f2LqPz7RbW4mTn8Vd"] * 20_000)
+    assert len(secrets.added_spans(text, secrets.base_spans(text), models, secrets.THRESHOLD)) == 20_000
+
+
 def test_words_for_the_models_are_bounded_by_a_parameter(docs_of, monkeypatch):
     taken = []
     monkeypatch.setattr(secrets, "samples", lambda words: taken.append(words) or ([], []))
@@ -107,13 +153,67 @@ def test_generated_pages_held_out():
 
 
 def test_labels_are_consistent():
-    """No kept part lies below a dropped one that is not itself below a kept one."""
+    """Below boilerplate all is boilerplate, below content nothing is open, and no text of boilerplate is kept."""
     rng = np.random.default_rng(0)
     for seed in range(40):
         parts = htmltext.parts_of(htmltext._unmarked(parsed(htmltext._Maker(seed).page())))
         margins = rng.normal(0, 3, len(parts))
-        keep = htmltext.decoded(parts, margins)
-        assert len(keep) == len(parts)
+        state, keep = htmltext.states(parts, margins), htmltext.decoded(parts, margins)
+        for i, p in enumerate(parts):
+            above = state[p.parent] if p.parent >= 0 else 0
+            assert above != 2 or state[i] == 2
+            assert above != 1 or state[i] != 0
+            assert not keep[i] or state[i] != 2
+        assert {0, 1, 2} >= set(state.tolist())
+
+
+def test_labels_are_the_best_of_all():
+    """On small trees: no consistent labelling scores higher."""
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        n = int(rng.integers(2, 7))
+        parts = [htmltext.Part(None, -1)] + [htmltext.Part(None, int(rng.integers(0, i)), own=int(rng.integers(0, 2))) for i in range(1, n)]
+        margins = rng.normal(0, 3, n)
+        m = np.clip(margins, -htmltext.SURE, htmltext.SURE)
+        good, bad = -np.logaddexp(0, -m), -np.logaddexp(0, m)
+        leaf = [all(p.parent != i for p in parts) for i in range(n)]
+
+        def score(state):
+            total = 0.0
+            for i, p in enumerate(parts):
+                above = 0 if p.parent < 0 else state[p.parent]
+                if p.parent < 0:
+                    if state[i]:
+                        return -np.inf
+                    continue
+                if (above == 2 and state[i] != 2) or (above == 1 and state[i] == 0) or (state[i] == 0 and leaf[i]):
+                    return -np.inf
+                total += (good[i], bad[i])[state[i] - 1] if state[i] else (max(good[i], bad[i]) if p.own else 0) - htmltext.OPEN - htmltext.LEAN * max(m[i], 0)
+                total -= htmltext.TURN if above == 1 and state[i] == 2 else 0
+            return total
+
+        got = htmltext.states(parts, margins)
+        assert abs(score(got) - max(score(s) for s in product((0, 1, 2), repeat=n))) < 1e-9
+
+
+def test_text_of_the_page_itself():
+    model = htmltext.trained()
+    assert htmltext.main_text("Hello <b>world</b>, this is all that the page says. It has two sentences.", model) == "Hello world, this is all that the page says. It has two sentences."
+    assert htmltext.main_text("Lead text, it is here.<p>More of it, a second sentence.</p>", model) == "Lead text, it is here.\n\nMore of it, a second sentence."
+    body = htmltext.main_text("<html><body>First words of the body, without a block.<p>And a paragraph, as it should be.</p></body></html>", model)
+    assert body == "First words of the body, without a block.\n\nAnd a paragraph, as it should be."
+
+
+def test_tags_and_names_cost_what_they_are():
+    root = parsed("<div>" * 20_000 + "</b>" * 20_000 + "<p>" + "<span>" * 5000 + "<li>x" * 5000)
+    assert root.items
+    page = "<body>" + "".join(f'<div class="überschrift-{i} navBar">Sentence, number {i}.</div>' for i in range(45_000)) + "</body>"
+    parts = htmltext.parts_of(parsed(page))
+    f = htmltext.features(parts)
+    assert len(f.plain) == 45_002 and len(f.own[5]) == 3 and f.laid_out({}, 10, 20).shape == (10, htmltext.PLAIN)
+    assert htmltext._names(parsed("<p class=navBar>").items[0]) == htmltext._names(parsed("<p id='nav bar'>").items[0])
 
 
 def test_pages_edge_cases(spark):
@@ -157,7 +257,7 @@ def test_only_hidden_elements_are_dropped():
 def test_formulas_stay_in_their_block():
     formula = '<math xmlns="http://www.w3.org/1998/Math/MathML" display="block"><semantics><mrow><mi>x</mi><mspace width="1em"/><mo stretchy="false">=</mo><mn>42</mn></mrow><annotation encoding="application/x-tex"/><annotation encoding="a">x=42 TeX</annotation></semantics></math>'
     assert _whole_text(f"<p>Where {formula} holds<math/>.</p><p>Next</p>") == ["Where x=42 holds.", "Next"]
-    assert [p.node.tag for p in htmltext.parts_of(parsed(f"<p>Where {formula} holds.</p>"))] == ["p"]
+    assert [p.node.tag for p in htmltext.parts_of(parsed(f"<p>Where {formula} holds.</p>"))] == ["#root", "p"]
     page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>The first sentence, of the text, says that {formula} holds.</p><p>Second one, it is.</p></article></body></html>"
     assert htmltext.main_text(page, htmltext.trained()).split("\n\n") == ["Title", "The first sentence, of the text, says that x=42 holds.", "Second one, it is."]
 
@@ -189,6 +289,55 @@ def test_language_spans_and_scripts(spark, docs_of):
     assert [r["l"]["lang"] for r in docs_of(["abc"]).withColumn("l", langid.identified(F.col("text"), empty)).collect()] == ["und"]
 
 
+def test_combining_marks_and_rare_planes():
+    letters = langid.Letters()
+    cut = lambda t: [t[a:b] for a, b in zip(*letters.words(t)[3:], strict=True)]
+    assert cut("हिन्दी भाषा") == ["हिन्दी", "भाषा"]
+    assert cut("\u0301 e\u0301t \u20ddx") == ["e\u0301t", "x"]
+    assert cut("\U00010400\U00010401 \U0001d400b \U00020000 \U0001f600") == ["\U00010400\U00010401", "\U0001d400b", "\U00020000"]
+    assert cut("") == cut("\u0301 12 !") == []
+
+
+def test_predictions_match_brute_force(spark, docs_of):
+    """The model and its labels by plain Python loops on a small table."""
+    rng = random.Random(8)
+    make = lambda a, n: " ".join("".join(rng.choices(a, k=rng.randint(1, 6))) for _ in range(n))
+    rows = [(i, make(a, rng.randint(1, 20)) + rng.choice([".", "", " 7", "é"]), lang) for i in range(40) for a, lang in (("etaoin", "en"), ("einsrt", "de"), ("аеинот", "ru"))]
+    model = langid.learned(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    letters, langs = langid.Letters(), sorted({lang for *_, lang in rows})
+    counts, scripts = np.zeros((langid.RANGE, 3)), np.zeros((len(langid.SCRIPT_NAMES), 3))
+    for _, text, lang in rows:
+        h, _, script, _, _ = letters.words(text)
+        for x in h:
+            counts[x, langs.index(lang)] += 1
+        for x in script:
+            scripts[x, langs.index(lang)] += 1
+    logs = np.log((counts + 0.1) / (counts + 0.1).sum(0))
+    logs -= logs.mean(1, keepdims=True)
+    assert model.langs == langs and np.allclose(model.table, logs, atol=1e-4)
+    texts = [make(rng.choice(["etaoin", "einsrt", "аеинот", "aeино"]), rng.randint(0, 7)) for _ in range(60)]
+    got = {r["doc_id"]: r["l"] for r in docs_of(texts).withColumn("l", langid.identified(F.col("text"), model)).collect()}
+    for i, text in enumerate(texts):
+        h, begin, script, starts, ends = letters.words(text)
+        if not len(begin):
+            assert got[i]["lang"] == "und"
+            continue
+        scores = np.array([logs[h[a:b]].sum(0) for a, b in zip(begin, [*begin[1:], len(h)], strict=True)])
+        for j, x in enumerate(script):
+            if scripts[x].any():
+                scores[j] += np.where(scripts[x] / scripts.sum(0) >= 0.005, 0, -100)
+        best, back = scores[0], []
+        for row in scores[1:]:
+            move = best.max() - langid.SWITCH
+            back.append([k if best[k] >= move else int(best.argmax()) for k in range(3)])
+            best = np.maximum(best, move) + row
+        path = [int(best.argmax())]
+        for step in reversed(back):
+            path.append(step[path[-1]])
+        share = [sum(e - s for s, e, k in zip(starts, ends, reversed(path), strict=True) if k == lang) for lang in range(3)]
+        assert got[i]["lang"] == langs[int(np.argmax(share))] and abs(got[i]["score"] - max(share) / sum(share)) < 1e-9
+
+
 def test_viterbi_is_optimal():
     rng = np.random.default_rng(3)
     for n in (1, 2, 5):
@@ -222,6 +371,30 @@ def test_counts_invert_the_distribution(spark, docs_of):
         assert sorted(got.get((i, text), [])) == list(range(1, k + 1))
 
 
+def test_high_rates(spark, docs_of):
+    """Rates far beyond a block of copies: the counts of the distribution, each copy once, in little time."""
+    from math import lgamma, log
+
+    rng = np.random.default_rng(4)
+    u = rng.random(300)
+    for rate in (450.0, 600.0, 20_000.0, 1e5):
+        got = mixing.counts_of(u, np.full(300, rate))
+        ks = np.arange(0, int(rate + 40 * rate**0.5) + 60)
+        cdf = np.cumsum(np.exp(np.array([k * log(rate) - rate - lgamma(k + 1) for k in ks])))
+        assert (got == np.searchsorted(cdf, u, "right")).all()
+    assert mixing.counts_of(u, np.zeros(300)).sum() == 0
+    docs = docs_of([(1, "tiny")] + [(i, "word " * 2000) for i in range(2, 30)]).withColumn("source", F.when(F.col("doc_id") == 1, "rare").otherwise("big"))
+    out = mixing.mixed(docs, targets={"rare": 0.5, "big": 0.5}).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("copy_no").alias("most"), F.countDistinct("copy_no").alias("d"))
+    n = {r["doc_id"]: r for r in out.collect()}
+    assert 30_000 < n[1]["n"] < 40_000 and all(r["n"] == r["most"] == r["d"] for r in n.values())
+
+
+def test_mixing_keeps_columns_of_any_name(docs_of):
+    docs = docs_of(["a", "b", None, "b"]).withColumns({x: F.lit(1) for x in ("_mix_n", "_mix_cdf", "count", "rate", "block", "source_of_rate", "copy_no", "order_key")})
+    assert sorted(mixing.mixed(docs, volume=3.0).columns) == sorted(docs.columns)
+    assert mixing.mixed(docs, volume=3.0).where("count != 1 or rate != 1 or block != 1").count() == 0
+
+
 def test_shares_come_near_their_targets(spark, docs_of):
     docs = docs_of([(i, "some words") for i in range(6000)]).withColumn("source", F.when(F.col("doc_id") < 4500, "big").otherwise("small"))
     n = {r["source"]: r["count"] for r in mixing.mixed(docs, targets={"big": 1.0, "small": 3.0}).groupBy("source").count().collect()}
@@ -281,6 +454,35 @@ def test_events_fold_into_messages(spark):
     assert chat.digests(chat.rendered(frame.limit(0))).count() == 0
 
 
+def test_random_logs_match_a_plain_fold(spark):
+    """Streamed folding against one that goes through each conversation's events by sequence and keeps a dictionary of turns."""
+    rng = random.Random(17)
+    log, want = [], {}
+    for conv in range(40):
+        turns: dict[int, list] = {}
+        for seq in range(rng.randint(0, 25)):
+            turn, text = rng.randint(0, 4), rng.choice(["a", "<s>", "é\n", "", "\\", "[INST]"])
+            event = rng.choice(["message", "delta", "delta", "edit", "regenerate"]) if turn in turns else rng.choice(["message", "delta"])
+            role = rng.choice(["user", "assistant"])
+            log.append((conv, turn, seq, role, event, text))
+            if event == "regenerate":
+                turns = {t: m for t, m in turns.items() if t < turn}
+            own = turns.setdefault(turn, [])
+            if event in ("message", "regenerate") or not own:
+                own.append([role, text])
+            else:
+                own[-1][1] = text if event == "edit" else own[-1][1] + text
+        if turns:
+            want[conv] = [tuple(m) for t in sorted(turns) for m in turns[t]]
+    rng.shuffle(log)
+    t, got = chat.Template(), {}
+    for r in chat.rendered(spark.createDataFrame(log, EVENT).repartition(5)).orderBy("conv_id", "position").collect():
+        got.setdefault(r["conv_id"], []).append(t.parse(r["formatted"]))
+    assert got == want
+    clash = spark.createDataFrame(log, EVENT).withColumns({x: F.lit(0) for x in ("c", "t", "s", "void", "at", "formatted", "loss")})
+    assert chat.rendered(clash).count() == sum(map(len, want.values())) and chat.rendered(clash.limit(0)).count() == 0
+
+
 # ---- quality
 
 
@@ -302,6 +504,38 @@ def test_quality_edge_cases(spark, docs_of):
     assert quality.scored(docs_of([]), spark.createDataFrame([], "doc_id long, quality int"), F.lit(True)).count() == 0
 
 
+def test_descent_matches_a_plain_solver():
+    """The dual optimum by many plain passes over all pairs of (document, bound): same weights, no gap between primal and dual."""
+    rng = np.random.default_rng(3)
+    rows = [np.unique(rng.integers(0, 60, 12)) for _ in range(50)]
+    y = np.where(rng.random(50) < 0.5, 1, -1)
+    ratio = rng.normal(0, 1, 60)
+    w, bias = quality._descend(rows, y, ratio, rounds=3000)
+    x = np.zeros((50, 61))
+    for i, own in enumerate(rows):
+        x[i, own] = ratio[own] / np.sqrt((ratio[own] ** 2).sum())
+    x[:, 60] = 1
+    q = (x @ x.T) * np.outer(y, y)
+    alpha = np.zeros(50)
+    for _ in range(20_000):  # projected gradient
+        alpha = np.clip(alpha - (q @ alpha - 1) / np.linalg.eigvalsh(q)[-1], 0, 1) if _ == 0 else np.clip(alpha - (q @ alpha - 1) / top, 0, 1)
+        top = np.linalg.eigvalsh(q)[-1] if _ == 0 else top
+    best = x.T @ (alpha * y)
+    loss = lambda v: 0.5 * v @ v + np.maximum(0, 1 - y * (x @ v)).sum()
+    assert loss(np.r_[w, bias]) - (alpha.sum() - 0.5 * alpha @ q @ alpha) < 0.02 * loss(best)
+
+
+def test_sample_is_bounded(spark, docs_of, monkeypatch):
+    """An id with very many rows counts once, and features beyond the bound are left out."""
+    taken = []
+    monkeypatch.setattr(quality, "fitted", lambda rows, y, share: taken.append(len(rows)) or quality.Model(np.zeros(1), np.zeros(1), 0.0, 0.0, 0.0))
+    docs = docs_of([(1, f"copy {i}") for i in range(500)] + [(i, "some words here to learn from") for i in range(2, 20)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 20)] * 2, "doc_id long, quality int")
+    quality.learned(docs, labels, F.lit(True))
+    quality.learned(docs, labels, F.lit(True), most_features=150)
+    assert taken[0] == 19 and 0 < taken[1] < 19
+
+
 def test_dual_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.r_[rng.integers(0, 50, 10), (100 if i % 2 else 200) + rng.integers(0, 5, 2)]) for i in range(80)]
