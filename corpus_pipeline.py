@@ -1,15 +1,20 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again as the next one's docs.
 
-Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents; further columns, also such as
+clash with names used inside, are dropped. Texts are handled whole, whatever their length; null texts and ids go through
+(see each operator); repeated rows of an id leave the Jaccard join once; a tie at the quality threshold is accepted; an
+empty table gives an empty one.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scoresieve.llm import decontam, jaccard, lines, mixing, quality
-from scoresieve.llm.scratch import stored
+from scoresieve.llm.scratch import dropped, exists, shared_dir, spent, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -54,8 +59,20 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFrame:
+    """The last stage's rows. What a stage stores for itself goes with its end, and its input once its output is whole.
+
+    run_id: a name for the run, so that one that was broken off and is started again goes on after its last whole stage.
+    """
+    base = f"{shared_dir(spark)}/scoresieve/run-{run_id or uuid.uuid4().hex}"
+    paths = [f"{base}/{i + 1}-{name.replace(' ', '-')}" for i, (name, _) in enumerate(STAGES)]
+    done = max((i + 1 for i, path in enumerate(paths) if run_id and exists(spark, path)), default=0)
+    docs = spark.read.parquet(paths[done - 1] if done else f"{sf_dir}/documents.parquet")
+    for i in range(done, len(STAGES)):
+        name, stage = STAGES[i]
+        with spent(spark):
+            out = stored(stage(spark, docs, sf_dir), name, paths[i])
+        if i > done:
+            dropped(docs)
+        docs = out
     return docs
