@@ -93,7 +93,7 @@ def _sample(a):
 def _metrics(a):
     spark = session()
     rows = pool.read_pool(spark, a.input, a.scores_field, "drop").where("has_scores")
-    rows = metrics.sample_rows(rows, a.sample_size, a.seed)
+    rows = metrics.sample_rows(rows, a.sample_size, a.seed, total=a.total_lines)
     have = pool.every_key(rows)
     wanted = files.score_list(a.scores) if a.scores else have
     keys = [k for k in wanted if k in have]
@@ -120,7 +120,7 @@ def _embed(a):
     if a.truncate_report_path:
         text.truncation_report(rows).write.mode("overwrite").csv(a.truncate_report_path)
     module, _, name = a.model.partition(":")
-    text.embedded(rows, getattr(importlib.import_module(module), name)).select("line_idx", "vector").write.mode("overwrite").parquet(a.output_path)
+    text.embedded(rows, getattr(importlib.import_module(module), name), most=a.batch_size).select("line_idx", "vector").write.mode("overwrite").parquet(a.output_path)
 
 
 def _kmeans(a):
@@ -180,6 +180,10 @@ def _search(a):
     print(json.dumps({"trial": best.number, "loss": best.value, "weights": best.weights}))
 
 
+#: Options for buffers, counts and devices, which have no meaning here: accepted with their value, and left alone.
+NO_MEANING = {"normalize": ["--batch-size"], "layers": ["--no_count", "--missing_zero"], "assign": ["--write_buf_size"], "embed": ["--tensor_parallel_size"]}
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="scoresieve", description=__doc__)
     sub = p.add_subparsers(dest="command", required=True)
@@ -224,6 +228,7 @@ def parser() -> argparse.ArgumentParser:
     arg("-i", "--input", required=True)
     arg("-o", "--output", default="cluster_results.txt")
     arg("--sample_size", type=int, default=10_000)
+    arg("--total_lines", type=int, help="how many records there are, so that they are not counted")
     arg("--seed", type=int, default=42)
     arg("--n_clusters", type=int)
     arg("--method", choices=metrics.METHODS, default="ward")
@@ -237,6 +242,7 @@ def parser() -> argparse.ArgumentParser:
     arg("--model", required=True, help="module:function that loads a function from texts to vectors")
     arg("--max_tokens", type=int, default=32_768)
     arg("--truncate_report_path")
+    arg("--batch_size", type=int, default=16_384, help="texts that the model gets at once")
     arg("--fields", nargs="+", default=["instruction", "input", "output"])
     arg = command("kmeans", _kmeans)
     arg("--input_path", required=True)
@@ -260,6 +266,9 @@ def parser() -> argparse.ArgumentParser:
     arg("--sort_by", choices=("number", "loss"), default="number")
     arg("--only_completed", action="store_true")
     arg("--top_weights", type=int, default=5)
+    for name, options in NO_MEANING.items():
+        for option in options:
+            sub.choices[name].add_argument(option, nargs="?", const="", help=argparse.SUPPRESS)
     return p
 
 

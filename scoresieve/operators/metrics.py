@@ -14,9 +14,9 @@ from ..functions.expressions import double, finite
 METHODS = ("ward", "complete", "average", "single")
 
 
-def sample_rows(table: DataFrame, n: int, seed: int = 42, line: str = "line_idx") -> DataFrame:
-    """n rows without replacement, the same for the same seed; all rows if n is at least 0.9 of them."""
-    if n >= 0.9 * table.count():
+def sample_rows(table: DataFrame, n: int, seed: int = 42, line: str = "line_idx", total: int | None = None) -> DataFrame:
+    """n rows without replacement, the same for the same seed; all rows if n is at least 0.9 of them. total: how many there are, if known."""
+    if n >= 0.9 * (table.count() if total is None else total):
         return table
     return table.orderBy(F.xxhash64(F.col(line), F.lit(seed)), line).limit(n)
 

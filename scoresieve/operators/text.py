@@ -41,12 +41,12 @@ def truncation_report(table: DataFrame, line: str = "line_idx") -> DataFrame:
     return table.where("truncated").select(line).orderBy(line)
 
 
-def embedded(table: DataFrame, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], text: str = "text", name: str = "vector") -> DataFrame:
-    """Add vectors from a model: load gives, once in each task, a function from a batch of texts to their vectors."""
+def embedded(table: DataFrame, load: Callable[[], Callable[[list[str]], Sequence[Sequence[float]]]], text: str = "text", name: str = "vector", most: int = 16_384) -> DataFrame:
+    """Add vectors from a model: load gives, once in each task, a function from a batch of at most `most` texts to their vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = None
-        for batch in batches:
+        for batch in (whole.slice(at, most) for whole in batches for at in range(0, whole.num_rows, most)):
             model = model or load()
             vectors = model([s or "" for s in batch.column(batch.schema.get_field_index(text)).to_pylist()])
             values = pa.array([[float(x) for x in v] for v in vectors], pa.list_(pa.float32()))

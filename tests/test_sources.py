@@ -140,6 +140,8 @@ def test_texts(spark):
     assert [tuple(r) for r in cut.collect()] == [("a", 1, False), (None, 0, False), ("x y", 3, True)]
     out = text.embedded(t.select("a"), lambda: lambda batch: [[len(s), 1.0] for s in batch], "a")
     assert [r["vector"] for r in out.collect()] == [[1.0, 1.0], [0.0, 1.0], [5.0, 1.0]]
+    one = text.embedded(t.select("a").coalesce(1), lambda: lambda batch: [[len(batch), 1.0]] * len(batch), "a", most=2)
+    assert {r["vector"][0] for r in one.collect()} <= {1.0, 2.0}
 
 
 RECORDS = [
@@ -175,7 +177,7 @@ def test_records_keep_all_but_their_scores(spark, records, tmp_path):
     """normalize, layers, final-score, assign and sample change what they are asked to and nothing else."""
     run = lambda *a: cli.main([str(x) for x in a])
     before = [_loads(x) for x in _lines(spark, records)]
-    run("normalize", "-i", records, "-o", tmp_path / "n", "--pct-range", 0, 100, "--keep-original", "--flip-keys", "b")
+    run("normalize", "-i", records, "-o", tmp_path / "n", "--pct-range", 0, 100, "--keep-original", "--flip-keys", "b", "--batch-size", 10)
     got = [_loads(x) for x in _lines(spark, tmp_path / "n")]
     assert len(got) == len(before) and got[2:5] == before[2:5] == ["", "{broken", '{"a": 1} {"b": 2}']
     assert got[0] == before[0] | {"scores": {"b_orig": 3, "b": 1.0, "a_orig": 1.5, "a": 0.0, "note": "4", "bad": None, "flag": True, "deep": {"k": [1]}}}
@@ -187,7 +189,7 @@ def test_records_keep_all_but_their_scores(spark, records, tmp_path):
     (tmp_path / "w" / "Layer1_c1").mkdir(parents=True)
     weights = tmp_path / "w" / "Layer1_c1" / "best_weights.json"
     weights.write_text('{"best_weights": {"b": 2.0, "a": 1.0, "gone": 5.0}}')
-    run("layers", "-i", records, "-w", tmp_path / "w", "-o", tmp_path / "l")
+    run("layers", "-i", records, "-w", tmp_path / "w", "-o", tmp_path / "l", "--no_count")
     got = [_loads(x) for x in _lines(spark, tmp_path / "l")]
     kept = [r for r in before if isinstance(r, dict)]
     sums = [7.5, 19.5, None, 0.0, 0.0, 0.0, 0.0]
