@@ -68,11 +68,12 @@ def run(spark: SparkSession, sf_dir: str, run_id: str | None = None) -> DataFram
     paths = [f"{base}/{i + 1}-{name.replace(' ', '-')}" for i, (name, _) in enumerate(STAGES)]
     done = max((i + 1 for i, path in enumerate(paths) if run_id and exists(spark, path)), default=0)
     docs = spark.read.parquet(paths[done - 1] if done else f"{sf_dir}/documents.parquet")
+    if done:
+        docs.stored_path = paths[done - 1]
     for i in range(done, len(STAGES)):
         name, stage = STAGES[i]
         with spent(spark):
             out = stored(stage(spark, docs, sf_dir), name, paths[i])
-        if i > done:
-            dropped(docs)
+        dropped(docs)
         docs = out
     return docs
