@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from .graph import components
 from .hashing import WordHasher, mix, shingle_set
 from .scratch import dropped, stored, unused
-from .skew import joined
+from .skew import joined, marked
 
 #: Ratio of the largest to the smallest set in a band.
 BAND = 1.5
@@ -284,7 +284,9 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, tex
     rows = chosen.select("rep", F.explode("keys").alias("key"))
     shared = rows.groupBy("key").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo != hi").drop("hi")
     published = chosen.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0))).first()[0]
-    buckets = stored(joined(rows, shared, ["key"], published, "size").select("key", "rep", "lo"), "buckets")
+    shared = stored(shared, "shared")
+    likely = marked(rows, shared, ["key"], shared.count(), "likely").where("likely").drop("likely")  # most keys are one set's own
+    buckets = stored(joined(likely, shared, ["key"], published, "size").select("key", "rep", "lo"), "buckets")
 
     def possible(pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and folded sketches do not rule out."""

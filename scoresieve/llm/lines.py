@@ -11,13 +11,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import dropped, stored, unused
+from .skew import marked
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Lines to a range partition, when the number of partitions is chosen.
 ROWS_PER_RANGE = 2_000_000
-#: Words of 64 bits in the filter that tells which texts may lose lines, at most: 16 bytes each where it is broadcast.
-FILTER_WORDS = 1 << 20
 
 
 def packed(n: int, positions: np.ndarray) -> bytes:
@@ -186,23 +185,16 @@ def without_common_lines(docs: DataFrame, min_docs: int = 10, keep: str = "none"
     document that loses all lines has the empty text. Repeated rows are treated alike. Texts of any length are cut whole.
     A column named line_dedup is replaced. An empty table gives no rows.
 
-    Only texts that may lose lines are shuffled to their bitmaps. A filter of hashed keys tells them: 16 bits for each
-    bitmap, and no more than FILTER_WORDS words, beyond which it lets more texts through that lose nothing.
+    Only texts that may lose lines are shuffled to their bitmaps; a filter of hashed keys tells them (see ``skew.marked``).
     """
     docs = docs.drop("line_dedup")
     maps = keep_bitmaps(docs, min_docs, keep, id_col, text_col)
-    d, t, n, bitmap, word, bits = unused(docs, "d", "t", "n", "bitmap", "word", "bits")
+    d, t, n, bitmap, loses = unused(docs, "d", "t", "n", "bitmap", "loses")
     maps = maps.select(F.col("d").alias(d), F.col("t").alias(t), F.col("n").alias(n), F.col("bitmap").alias(bitmap))
-    words = 1 << min(max(0, (maps.count() * 16 // 64).bit_length()), FILTER_WORDS.bit_length() - 1)
-    h = F.xxhash64(F.col(d), F.col(t))
-    one_bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(h, F.lit(64)).cast("int"))
-    in_word = F.pmod(F.shiftright(h, 6), F.lit(words))
-    table = maps.groupBy(in_word.alias(word)).agg(F.bit_or(one_bit).alias(bits))
-
     keyed = docs.withColumns({d: F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))), t: F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))})
-    marked = keyed.join(F.broadcast(table), in_word == table[word], "left").withColumn(bits, F.coalesce(F.col(bits).bitwiseAND(one_bit), F.lit(0)) != 0).drop(word)
+    told = marked(keyed, maps, [d, t], maps.count(), loses)
     applied = F.arrow_udf(_without, "struct<text string, n_lines long, n_dropped long>")
     whole = F.coalesce(F.col(text_col), F.lit(""))
-    rest = marked.where(~F.col(bits)).withColumn("line_dedup", F.struct(whole.alias("text"), (F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
-    some = marked.where(F.col(bits)).join(maps, [d, t], "left").withColumn("line_dedup", applied(F.col(text_col), F.col(n), F.col(bitmap))).drop(n, bitmap)
-    return rest.drop(d, t, bits).unionByName(some.drop(d, t, bits))
+    rest = told.where(~F.col(loses)).withColumn("line_dedup", F.struct(whole.alias("text"), (F.length(whole) - F.length(F.translate(whole, "\n", "")) + 1).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_dropped")))
+    some = told.where(F.col(loses)).join(maps, [d, t], "left").withColumn("line_dedup", applied(F.col(text_col), F.col(n), F.col(bitmap))).drop(n, bitmap)
+    return rest.drop(d, t, loses).unionByName(some.drop(d, t, loses))
