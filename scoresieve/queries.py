@@ -15,12 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions.expressions import double, min_max
-from .functions.weighting import linear, signature, softmax
+from .functions.weighting import good_trials, linear, parameters_of, signature, softmax, weights_of
 from .operators import hierarchy, metrics, normalize, scoring, selection, text, trials, vectors
 from .plans import search
 from .sources import files, index, pool
 from .sources.pool import score_keys
 from .sources.scratch import shared_dir
+from .streaming import scoring as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -808,3 +809,70 @@ def sample_mixed_ids(spark, sf_dir):
     group = F.when(F.col("o_custkey") % 2 == 0, F.col("o_orderstatus")).otherwise((F.col("o_custkey") % 3).cast("string"))
     t = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("line_idx"), group.alias("cluster_id"), F.floor(F.col("o_totalprice") / 10000).cast("double").alias("score"))
     return selection.top_percent(t, "score", 12.5, "cluster_id")
+
+
+@registered("SELECT key, least(greatest(ln(greatest(w, 1e-10)), -2.5), 5.0) AS softmax_z, least(greatest(-1 + w * 3, -1.0), 2.0) AS linear_z FROM (SELECT r_name AS key, (r_regionkey::DOUBLE * r_regionkey) / 30 AS w FROM region)")
+def parameters_of_weights(spark, sf_dir):
+    own = {r["r_name"]: float(r["r_regionkey"]) ** 2 / 30 for r in table(spark, sf_dir, "region").collect()}
+    keys = list(own)
+    first, second = parameters_of(own, keys, "softmax", (-2.5, 5.0)), parameters_of(own, keys, "linear", (-1.0, 2.0))
+    return spark.createDataFrame([(k, first[f"z_{k}"], second[f"z_{k}"]) for k in keys], "key string, softmax_z double, linear_z double")
+
+
+@registered("WITH z AS (SELECT n_name AS key, n_nationkey / 10.0::DOUBLE AS z FROM nation) SELECT key, round(exp(z) / sum(exp(z)) OVER (), 9) AS softmax, round((z + 1 + 1e-8) / sum(z + 1 + 1e-8) OVER (), 9) AS linear FROM z")
+def weights_by_method(spark, sf_dir):
+    rows = _nations(spark, sf_dir)
+    z = [r["n_nationkey"] / 10.0 for r in rows]
+    both = zip(rows, weights_of(z, "softmax", (-5.0, 5.0)), weights_of(z, "linear", (-1.0, 5.0)), strict=True)
+    return spark.createDataFrame([(r["n_name"], round(a, 9), round(b, 9)) for r, a, b in both], "key string, softmax double, linear double")
+
+
+@registered("SELECT c_custkey AS n, least(ceil(0.1::DOUBLE * c_custkey), 25)::BIGINT AS good FROM customer WHERE c_custkey <= 400")
+def good_trial_counts(spark, sf_dir):
+    found = table(spark, sf_dir, "customer").where("c_custkey <= 400").select("c_custkey").collect()
+    return spark.createDataFrame([(r[0], good_trials(r[0])) for r in found], "n long, good long")
+
+
+@registered(SQL["final_leaf_weights"])
+def weight_summary_files(spark, sf_dir):
+    with tempfile.TemporaryDirectory() as folder:
+        for name, own in WEIGHTS.items():
+            files.save_best_weights(f"{folder}/{name.split('_')[0]}/{name}/best_weights.json", name, 1.0, own, 0, 1, "linear", (0.0, 1.0))
+        data = hierarchy.summary(spark, folder, f"{folder}/out.json")
+    return spark.createDataFrame(list(data["final_leaf_weights"].items()), "leaf string, weight double").withColumn("weight", F.round("weight", 12))
+
+
+@registered(f"WITH {_TRIALS} SELECT trial_number, state, eval_loss FROM t WHERE state = 'COMPLETE' ORDER BY trial_number LIMIT 50")
+def trial_listing(spark, sf_dir):
+    return trials.by_number(trials.completed(_history(spark, sf_dir)), 50).select("trial_number", "state", "eval_loss")
+
+
+@registered("SELECT event_id::INT AS trial_number, value AS eval_loss, min(value) OVER (ORDER BY event_id) AS best FROM events WHERE event_id < 400")
+def running_best(spark, sf_dir):
+    return trials.running_best(_losses(spark, sf_dir))
+
+
+@registered(f"WITH {_TRIALS} SELECT trial_number, state, eval_loss, (o_orderkey % 5)::DOUBLE AS weight_a FROM t JOIN orders ON o_orderkey = trial_number")
+def trials_csv(spark, sf_dir):
+    path = f"{shared_dir(spark)}/scoresieve/trials-{uuid.uuid4().hex}"
+    trials.export_csv(_history(spark, sf_dir), path)
+    rows = spark.read.option("header", True).csv(path)
+    return rows.select(F.col("trial_number").cast("int").alias("trial_number"), "state", F.col("eval_loss").cast("double").alias("eval_loss"), F.col("weight_a").cast("double").alias("weight_a"))
+
+
+@registered("SELECT key, key IN ('l_tax', 'l_discount') AS have FROM (SELECT unnest(['l_tax', 'gone', 'l_discount']) AS key)")
+def available_metrics(spark, sf_dir):
+    have, lack = metrics.available(table(spark, sf_dir, "lineitem"), ["l_tax", "gone", "l_discount"])
+    return spark.createDataFrame([(k, True) for k in have] + [(k, False) for k in lack], "key string, have boolean")
+
+
+@registered("SELECT event_id, final_score FROM (SELECT event_id, 0.0::DOUBLE + (least(greatest(value, 10.0), 90.0) - 10.0) / 80.0 * 0.75::DOUBLE + (1 - (least(greatest(user_id::DOUBLE, 5.0), 100.0) - 5.0) / 95.0) * 0.25::DOUBLE AS final_score FROM events) WHERE final_score >= 0.5")
+def streamed_scores(spark, sf_dir):
+    """The events as an unbounded source, scored by frozen bounds and weights and appended to a table."""
+    base = f"{shared_dir(spark)}/scoresieve/stream-{uuid.uuid4().hex}"
+    own = table(spark, sf_dir, "events").select("event_id", "value", F.col("user_id").cast("double").alias("user_id"))
+    own.repartition(3).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(own.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    scored = streaming.scored_stream(stream, {"value": (10.0, 90.0), "user_id": (5.0, 100.0)}, {"value": 0.75, "user_id": 0.25}, ["user_id"], 0.5)
+    streaming.start(scored.select("event_id", "final_score"), f"{base}/out", f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema("event_id long, final_score double").parquet(f"{base}/out")
