@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from . import plots
 from .operators import hierarchy, metrics, normalize, scoring, selection, text, trials, vectors
 from .plans import search
 from .session import session
@@ -103,12 +104,22 @@ def _metrics(a):
     try:
         clusters = metrics.metric_clusters(table, keys, a.n_clusters, a.method, a.use_absolute_corr)
         corr = metrics.correlations(table, sorted(clusters))
+        corr = spark.createDataFrame(corr.collect(), corr.schema)  # a number for each pair of metrics
         means = {r["cluster"]: r["mean_corr"] for r in metrics.within_clusters(corr, clusters).collect()}
     finally:
         table.unpersist()
     report = metrics.report(clusters, files.display_names(a.score_names) if a.score_names else None, means)
     Path(a.output).write_text(report)
     print(report)
+    both = not (a.plot_dendrogram or a.plot_heatmap)
+    own = sorted(clusters)
+    if a.plot_heatmap or both:
+        places = sorted(own, key=lambda k: (clusters[k], k))
+        cells = {(r["key_a"], r["key_b"]): r["corr"] for r in corr.collect()}
+        Path(f"{a.output}.heatmap.svg").write_text(plots.heat_map(cells, places))
+    if a.plot_dendrogram or both:
+        merges = metrics.linkage(metrics.matrix(metrics.distances(corr, a.use_absolute_corr), own, "distance"), a.method)
+        Path(f"{a.output}.dendrogram.svg").write_text(plots.dendrogram(merges.tolist(), own, metrics.leaf_order(merges, len(own))))
 
 
 def _embed(a):
@@ -133,6 +144,9 @@ def _kmeans(a):
     if a.npy:
         files.write_array(labels, f"{a.output_dir}/cluster_labels.npy", "line_idx", "cluster_id")
         files.write_array(centroids, f"{a.output_dir}/cluster_centroids.npy", "cluster_id", "centroid")
+    sizes = vectors.sizes_of(labels).orderBy(F.desc("n"), "cluster_id").limit(2000).collect()
+    Path(a.output_dir).mkdir(parents=True, exist_ok=True)
+    Path(a.output_dir, "cluster_sizes.svg").write_text(plots.bars([(r["cluster_id"], r["n"]) for r in sizes], "Rows of the largest clusters" if len(sizes) == 2000 else "Rows by cluster"))
     vectors.distribution(labels).show()
     vectors.sizes_of(labels).orderBy("cluster_id").show(20)
 
@@ -233,6 +247,8 @@ def parser() -> argparse.ArgumentParser:
     arg("--n_clusters", type=int)
     arg("--method", choices=metrics.METHODS, default="ward")
     arg("--use_absolute_corr", action="store_true")
+    arg("--plot_dendrogram", action="store_true", help="<output>.dendrogram.svg; both plots if none is asked for")
+    arg("--plot_heatmap", action="store_true", help="<output>.heatmap.svg")
     arg("--scores")
     arg("--score_names")
     arg("-s", "--scores-field", default="scores")

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.weighting import good_trials, parameter_signature, parameters_of, signature, weights_of
 from ..operators.scoring import weighted
+from ..plots import history as history_plot
 from ..operators.selection import top_k, top_k_heap
 from ..operators.trials import SCHEMA, with_duration
 from ..sources.files import last_eval_loss, save_best_weights
@@ -156,7 +157,7 @@ def run(study: Study, index: DataFrame, objective: Callable[..., float], n_trial
     one with a true attribute ``wants_folder`` also gets the trial's folder. A failing objective marks its trial FAIL and
     ends the search. With out each trial has a folder ``trials/trial_<number>`` whose ``data`` holds the selection as
     train.jsonl, best first, and dataset_info.json, which names it and the validation file; best_weights.json
-    is written after each trial, and the folders of the oldest trials beyond keep are removed. The index is kept in memory
+    and history.svg are written after each trial, and the folders of the oldest trials beyond keep are removed. The index is kept in memory
     between trials, and with cache the pool too; each trial is one Spark job over the weighted columns.
     """
     gamma = s.gamma or partial(good_trials, share=s.gamma_share, most=s.gamma_most)
@@ -195,6 +196,8 @@ def run(study: Study, index: DataFrame, objective: Callable[..., float], n_trial
             if out:
                 top = study.best()
                 save_best_weights(f"{out}/best_weights.json", study.name, top.value, top.weights, top.number, sum(x.state == "COMPLETE" for x in study.trials()), s.method, s.span)
+                done = [(x.number, x.value) for x in study.trials() if x.state == "COMPLETE" and x.value is not None]
+                Path(out, "history.svg").write_text(history_plot([(n, v, min(w for _, w in done[: i + 1])) for i, (n, v) in enumerate(done)]))
                 clean(out, keep)
             if best is None or t.value < best - s.delta:
                 best, idle = t.value, 0

@@ -230,6 +230,22 @@ def test_sampling_by_other_ids(spark, tmp_path, capsys):
     assert "n_keep" in capsys.readouterr().out
 
 
+def test_plots_are_well_formed():
+    from xml.dom.minidom import parseString
+
+    from scoresieve import plots
+
+    merges = [[0, 1, 0.2, 2], [2, 3, 0.7, 3]]
+    found = [
+        plots.history([(0, 3.0, 3.0), (1, 4.0, 3.0), (5, 1.5, 1.5)]), plots.history([(2, 1.0, 1.0)]), plots.history([]),
+        plots.bars([("a<b", 3), ("c", 0)], "x & y"), plots.bars([], "none"), plots.bars([(i, i) for i in range(900)], "many"),
+        plots.heat_map({("a", "a"): 1.0, ("a", "b&"): -0.5, ("b&", "b&"): None}, ["a", "b&"]), plots.dendrogram(merges, ["x", "y", "z"], [2, 0, 1]), plots.dendrogram([], ["x"], [0]),
+    ]
+    for text in found:
+        assert parseString(text).documentElement.tagName == "svg"
+    assert found[0].count("<circle") == 3 and found[6].count("<title>") == 3 and found[7].count("<path") == 2
+
+
 def test_mini_batches(spark):
     rng = np.random.default_rng(0)
     centre = rng.normal(0, 20, (4, 5))
@@ -290,6 +306,7 @@ def test_command_line(spark, tmp_path, capsys):
     assert sorted(r["final_score"] for r in chosen) == [float(x) for x in range(54, 60)]
     run("metrics", "-i", src, "-o", tmp_path / "r.txt", "--n_clusters", 2, "--use_absolute_corr")
     assert "Cluster 1" in (tmp_path / "r.txt").read_text()
+    assert all("<svg" in (tmp_path / f"r.txt.{kind}.svg").read_text() for kind in ("heatmap", "dendrogram"))
     np.save(tmp_path / "v.npy", np.random.default_rng(0).standard_normal((60, 4)))
     run("kmeans", "--input_path", tmp_path / "v.npy", "--output_dir", tmp_path / "k", "--opt_k", 3)
     run("assign", "--input_jsonl", src, "--labels_path", tmp_path / "k" / "labels", "--output_jsonl", tmp_path / "a")
