@@ -9,13 +9,13 @@ similar sets agree in whole blocks (pigeonhole). Documents are joined on the
 values of blocks; candidates are pruned by the Hamming distance of folded
 sketches and verified on the exact shingle sets.
 
-Blocks with next to no bits set would join unrelated documents. A document
-leaves its weak blocks out as long as its strong ones alone still guarantee a
-hit: with M blocks, at most d are touched by a difference, so M - d - weak >= 1
-strong ones agree. Documents for which that fails publish all blocks. When a
-pair has one document of the first kind it meets in one of that one's strong
-blocks; otherwise both publish everything. This holds for
-sets of every size, so no linked pair is missed.
+Blocks that hold next to nothing would join unrelated documents. A document
+publishes only blocks of at least w shingles, for the largest w with which they
+alone still guarantee a hit: of M blocks at most d are touched by a difference,
+so M - d less the number of its blocks below w must be 1 or more. An untouched
+block holds the same shingles in both sets, so two documents meet in one that
+holds the larger of their two w, which both publish. This holds
+for sets of every size, so no linked pair is missed.
 
 Equal sets are one representative, and only representatives publish keys. What a key is shared by is found by
 aggregation, and rows are joined to it so that no frequent key is one task's (see ``skew``); members of a large bucket
@@ -66,7 +66,7 @@ class Bands:
 
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
-        self.weak = 2 if num * 100 < 85 * den else 4
+        self.weak, self.most = (2, 1.25) if num * 100 < 85 * den else (4, 1.4)  # shingles that a block is to hold, and blocks for each difference
         self.known: dict[int, tuple[int, int]] = {}
 
     def low(self, band: int) -> int:
@@ -100,7 +100,7 @@ class Bands:
             rate = low / m
             thin = m * sum(math.exp(-rate) * rate**i / math.factorial(i) for i in range(self.weak))
             need = d + 1 + math.ceil(thin + 2 * math.sqrt(thin))
-            if need <= m or m > 1.4 * d + 2:
+            if need <= m or m > self.most * d + 2:
                 break
             m = min(need, m + max(1, d // 20))
         return d, m
@@ -130,10 +130,7 @@ class Bands:
             value = np.zeros(m, np.uint64)
             np.bitwise_xor.at(value, block, flips)
             filled = np.bincount(block, minlength=m)
-            strong = filled >= self.weak
-            if m - d - int((~strong).sum()) < 1:
-                strong[:] = True
-            at = np.flatnonzero(strong)
+            at = next(at for w in range(self.weak, -1, -1) if len(at := np.flatnonzero(filled >= w)) > d)
             out.append(mix(value[at] ^ mix(at.astype(np.uint64) + np.uint64((band + 1) << 40))))
         return np.concatenate(out)
 
@@ -265,9 +262,11 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, tex
     """The stored table of sets, and the rows of similar_documents()."""
     folds = _folds(num, den)
     table = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    meta = stored(table.mapInArrow(_meta(shingle, num, den), _meta_schema(num, den)), "sets")
-    known = meta.where("n > 0 and id is not null")
+    sets = stored(table.mapInArrow(_meta(shingle, num, den), _meta_schema(num, den)), "sets")
     same_set = ["n", "s1", "s2"]
+    meta = stored(sets.select("id", *same_set), "sizes")
+    usable = "n > 0 and id is not null"
+    known = meta.where(usable)
     reps = known.groupBy(*same_set).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"))
     # Documents that share an id are one node, so that node has an edge to each of its sets' representatives.
     node = joined(known.select("id", *same_set), reps, same_set, known.count(), "size")
@@ -276,7 +275,8 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, tex
     # (A document that shares its id with a representative may publish too, which is one node all the same.)
     first = reps.select("rep").distinct()
     few = first.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    chosen = known.join(F.broadcast(first) if few else first, known["id"] == first["rep"]).drop("id")
+    chosen = sets.where(usable)
+    chosen = chosen.join(F.broadcast(first) if few else first, chosen["id"] == first["rep"]).drop("id")
     if not few:
         chosen = stored(chosen, "chosen")
     shape = chosen.select("rep", "n", *folds, "band", "wide").dropDuplicates(["rep", "n", *folds])
@@ -287,6 +287,8 @@ def _grouped(docs: DataFrame, shingle: int, num: int, den: int, id_col: str, tex
     shared = stored(shared, "shared")
     likely = marked(rows, shared, ["key"], shared.count(), "likely").where("likely").drop("likely")  # most keys are one set's own
     buckets = stored(joined(likely, shared, ["key"], published, "size").select("key", "rep", "lo"), "buckets")
+    for spent in (sets, shared, chosen):  # keys are most of what is stored
+        dropped(spent)
 
     def possible(pairs: DataFrame) -> DataFrame:
         """The pairs that sizes and folded sketches do not rule out."""
