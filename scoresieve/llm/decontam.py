@@ -20,7 +20,6 @@ WINDOW, K = 10, 4
 BROADCAST_ROWS = 100_000
 #: Rows that say how many words a document has are spread over so many join keys.
 SPREAD = 1024
-_LEAST = -(2**63)
 
 
 def words_of(text: Column) -> Column:
@@ -34,27 +33,23 @@ def _paired(df: DataFrame, a: str, b: str, shift: int, out: str, f) -> DataFrame
 
 
 def _fingerprints(df: DataFrame, pad: int) -> DataFrame:
-    """Add ``marks``: an array of (len, f, p, near) for the winnowed k-grams of column ``ws``. near: hashes of the words around."""
+    """Add ``marks``: an array of (len, f, p, near) for the winnowed k-grams of column ``ws``: of each window the first least one. near: hashes of the words around."""
     if (WINDOW, K) != (10, 4):
         raise ValueError("the passes below are laid out for windows of 10 words and 4-grams")
     hashed = lambda x, y: F.xxhash64(x, y)
-    lesser, greater = lambda x, y: F.least(x, y), lambda x, y: F.greatest(x, y)
-    side = WINDOW - K
+    lesser = lambda x, y: F.least(x, y)
+    side, span = WINDOW - K, WINDOW - K + 1
     df = df.withColumn("h", F.transform("ws", lambda x: F.xxhash64(x)))
     df = _paired(df, "h", "h", 1, "g2", hashed)
     df = _paired(df, "g2", "g2", 2, "g", hashed)  # 4-grams
     df = _paired(df, "g", "g", 1, "m2", lesser)
     df = _paired(df, "m2", "m2", 2, "m4", lesser)
     df = _paired(df, "m4", "m4", 3, "m7", lesser)  # least of each 7 consecutive 4-grams
-    edge = F.array_repeat(F.lit(_LEAST), side)
-    df = df.withColumn("e", F.concat(edge, "m7", edge))
-    df = _paired(df, "e", "e", 1, "x2", greater)
-    df = _paired(df, "x2", "x2", 2, "x4", greater)
-    df = _paired(df, "x4", "x4", 3, "x7", greater)  # greatest of the minima of the windows that hold the 4-gram
-    # A column used once, within a lambda, would be inlined there and computed for each element; none is used that way below.
-    equal = F.zip_with("g", "x7", lambda x, y: x == y)
-    numbered = F.zip_with(F.sequence(F.lit(0), F.size("g") - 1), equal, lambda i, same: F.when(same, i))
-    chosen = F.when(F.size("m7") > 0, F.filter(numbered, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
+    # The first place of a window's least 4-gram is the window's before unless the value changes, or the place leaves with a
+    # value that occurs again. (A column used once, within a lambda, would be inlined there and computed for each element.)
+    moved = lambda v, i: (i == 0) | (F.get("m7", i - 1) != v) | (F.get("g", i - 1) == v)
+    places = F.transform("m7", lambda v, i: F.when(moved(v, i), (i + F.array_position(F.slice("g", i + 1, span), v) - 1).cast("int")))
+    chosen = F.when(F.size("m7") > 0, F.filter(places, lambda i: i.isNotNull())).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("at", chosen).withColumn("hp", F.concat(F.array_repeat(F.lit(pad), side), "h", F.array_repeat(F.lit(pad), side)))
     mark = lambda i: F.struct(F.lit(0).alias("len"), F.get("g", i).alias("f"), i.alias("p"), F.slice("hp", i + 1, K + 2 * side).alias("near"))
     return df.withColumn("marks", F.when((F.size("hp") > 0) & (F.size("g") >= 0), F.transform("at", mark)))

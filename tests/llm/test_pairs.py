@@ -331,6 +331,17 @@ def test_overlaps_match_brute_force(spark, docs_of, words):
         assert got == brute_overlaps(docs, chosen)
 
 
+def test_every_window_has_its_fingerprint(spark, words):
+    """The first least 4-gram of each ten words is chosen, also where the same words recur."""
+    rng = random.Random(13)
+    rows = [(i, rng.choices(words[: rng.choice([1, 2, 3, 50])], k=rng.randint(0, 45))) for i in range(200)]
+    frame = decontam._fingerprints(spark.createDataFrame(rows, "id long, ws array<string>"), 0)
+    for r in frame.selectExpr("id", "g", "marks.p AS p").collect():
+        g = r["g"] or []
+        want = {i + g[i : i + 7].index(min(g[i : i + 7])) for i in range(len(g) - 6)}
+        assert set(r["p"] or []) == want and len(r["p"] or []) == len(want)
+
+
 def test_overlaps_without_broadcast(spark, docs_of, words, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 1)
     item = " ".join(words[:14])
