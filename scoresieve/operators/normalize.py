@@ -14,6 +14,8 @@ from ..sources.pool import number_text
 
 #: Different values between two bracket ends that one task may sort, and the accuracy of the percentiles that set the ends.
 MOST_VALUES = 100_000
+#: Rows up to which all columns' exact percentiles are one aggregation, which keeps each different value of a column.
+ONE_PASS = 1_000_000
 ACCURACY = 10_000
 
 
@@ -81,6 +83,11 @@ def bounds(table: DataFrame, keys: Sequence[str], low: float, high: float, accur
             p = F.percentile_approx(c, at, accuracy)
             aggs.append(F.struct(F.lit(key).alias("key"), F.get(p, F.lit(0)).alias("lb"), F.get(p, F.lit(1)).alias("ub"), F.count(c).alias("n")))
         return table.agg(F.array(*aggs).alias("_")).select(F.inline("_")).where("n > 0")
+    if table.limit(ONE_PASS + 1).count() <= ONE_PASS:
+        at = F.array(double(low / 100.0), double(high / 100.0))
+        cs = [(key, finite(F.col(key).cast("double"))) for key in keys]
+        aggs = [F.struct(F.lit(key).alias("key"), F.get(F.percentile(c, at), F.lit(0)).alias("lb"), F.get(F.percentile(c, at), F.lit(1)).alias("ub"), F.count(c).alias("n")) for key, c in cs]
+        return table.agg(F.array(*aggs).alias("_")).select(F.inline("_")).where("n > 0")
     sizes = table.agg(*(F.count(finite(F.col(key).cast("double"))).alias(f"n{i}") for i, key in enumerate(keys))).first()
     sizes = {key: n for key, n in zip(keys, sizes, strict=True) if n}
     places = {key: [p / 100.0 * (n - 1) for p in (low, high)] for key, n in sizes.items()}

@@ -85,6 +85,7 @@ def test_percentiles_between_brackets(spark, seed, monkeypatch):
     import numpy as np
 
     monkeypatch.setattr(normalize, "MOST_VALUES", 15)
+    monkeypatch.setattr(normalize, "ONE_PASS", 0)
     monkeypatch.setattr(normalize, "ACCURACY", 100)
     rng = random.Random(seed)
     rows = [(rng.gauss(0, 1), float(rng.randint(0, 3)), rng.choice([None, float("nan"), rng.random()]), None) for _ in range(3000)]
